@@ -10,6 +10,8 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 #: Ids of at most this many rows (8 MB) may be broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
@@ -80,8 +82,19 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[[dict[str, list]], dict[
                 out = f(batch.slice(at, rows).to_pydict())
                 yield pa.RecordBatch.from_pydict(out, schema=arrow)
 
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import _parse_datatype_string
-
-    arrow = to_arrow_schema(_parse_datatype_string(schema))
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
     return df.mapInArrow(work, schema)
+
+
+def filter_rows(df: DataFrame, text: str, make: Callable[[], Callable[[list[str]], list[bool]]], rows: int = 256) -> DataFrame:
+    """The rows of df, with all columns, whose text (null: empty) the made function keeps. Other columns are not converted."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gc.set_threshold(1_000_000, 20, 20)
+        f = make()
+        for batch in batches:
+            for at in range(0, batch.num_rows, rows):
+                some = batch.slice(at, rows)
+                yield some.filter(pa.array(f([t or "" for t in some.column(text).to_pylist()]), pa.bool_()))
+
+    return df.mapInArrow(work, df.schema)

@@ -96,8 +96,9 @@ def runs(rows: DataFrame, carry: list[str], keep: str, only_kept: bool) -> DataF
 
     kind = rows.schema["k"].dataType
     fields = [("edge", BooleanType()), ("part", IntegerType()), ("run", LongType()), ("k", kind), ("h", StringType()), ("size", LongType()), ("keep_id", kind), ("kept", BooleanType())]
+    fields += [("t", BinaryType())] if only_kept else []
     fields += [("first", BinaryType()), ("last", BinaryType()), ("first_size", LongType()), ("first_keep", kind), ("last_size", LongType()), ("last_keep", kind)]
-    schema = StructType([StructField(a, b) for a, b in fields] + [rows.schema[c] for c in carry])
+    schema = StructType([StructField(a, b) for a, b in fields] + [StructField(c, rows.schema[c].dataType) for c in carry])
     arrow, names = to_arrow_schema(schema), schema.names
     return rows.mapInArrow(work, schema)
 
@@ -116,12 +117,14 @@ def chains(edges: DataFrame) -> DataFrame:
 
 def content_sort(df: DataFrame, keep: str = "min", key: str = "doc_id", text: str = "text", normalise: Callable[[Column], Column] = unchanged, carry: list[str] | None = None) -> DataFrame:
     """One row for each row of df: key, keep_id, group_size, kept, text_sha256. With carry, only the kept rows, and of these
-    the key and the columns named. keep: "min" keeps the smallest id of equal texts, "max" the largest."""
+    the columns named. keep: "min" keeps the smallest id of equal texts, "max" the largest."""
     if keep not in ("min", "max"):
         raise ValueError("keep is min or max")
     stage = Stage(df.sparkSession, "content-sort")
-    carried = [F.col(c).alias(f"c_{i}") for i, c in enumerate(carry or [])]
-    names = [f"c_{i}" for i in range(len(carried))]
+    plain = normalise is unchanged  # then the text need not be carried beside its content
+    others = [c for c in carry or [] if c != key and not (c == text and plain)]
+    carried = [F.col(c).alias(f"c_{i}") for i, c in enumerate(others)] + [F.col(text).isNull().alias("no_text")]
+    names = [f"c_{i}" for i in range(len(others))] + ["no_text"]
     content = normalise(text_or_empty(text)).cast("binary")
     rows = df.select(F.col(key).alias("k"), content.alias("t"), *carried).withColumn("h", F.sha2("t", 256)).withColumn("lead", F.substring("t", 1, LEAD))
     id_order = F.col("k").asc_nulls_first() if keep == "max" else F.col("k").asc_nulls_last()
@@ -137,8 +140,10 @@ def content_sort(df: DataFrame, keep: str = "min", key: str = "doc_id", text: st
     found = join_by_size(marked.filter("not edge").drop("first", "last", "first_size", "first_keep", "last_size", "last_keep"), outer, ["part", "run"], "left")
     kept = F.col("kept") & F.coalesce("here", F.lit(True))
     if carry is not None:
-        back = [F.col(a).alias(c) for a, c in zip(names, carry, strict=True) if c != key]
-        return found.filter(kept).select(F.col("k").alias(key), *back)
+        back = {c: F.col(f"c_{i}") for i, c in enumerate(others)} | {key: F.col("k")}
+        if plain:
+            back[text] = F.when(~F.col("no_text"), F.col("t").cast("string"))
+        return found.filter(kept).select(*[back[c].alias(c) for c in carry])
     return found.select(
         F.col("k").alias(key),
         F.coalesce("all_keep", "keep_id").alias("keep_id"),

@@ -27,7 +27,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from amberline.llm.common import crc_fold, map_rows, table, text_or_empty
+from amberline.llm.common import crc_fold, filter_rows, map_rows, table, text_or_empty
 
 ORDER = 5
 SAMPLE = 200
@@ -262,6 +262,35 @@ def memory(data: bytes) -> Memory:
     return Memory(pickle.loads(data))
 
 
+def judge(kept: Memory, texts: list[str]) -> list[tuple[str, float, float | None, bool]]:
+    """(language, score, cross-entropy, whether it is rejected) of each text."""
+    m = kept.models
+    found = [Counter(words_of(t)) if has_letter(t) and m.languages else Counter() for t in texts]
+    entropies = iter(kept.cross_entropy([f for f in found if f]))
+    out = []
+    for words in found:
+        if not words:
+            out.append((UNDETERMINED, 0.0, None, True))
+            continue
+        entropy = next(entropies)
+        i = int(entropy.argmin())
+        share = 1 / float(np.exp(SHARPNESS * (entropy[i] - entropy)).sum())
+        limit = m.mean[i] + SPREAD * m.spread[i] / math.sqrt(sum(words.values())) + SLACK
+        out.append((m.languages[i], share, float(entropy[i]), bool(entropy[i] > limit)))
+    return out
+
+
+def accepted(df: DataFrame, models: LanguageModels, text: str = "text") -> DataFrame:
+    """The rows of df, with all columns, that are not rejected."""
+    shared = df.sparkSession.sparkContext.broadcast(pickle.dumps(models))
+
+    def make():
+        kept = memory(shared.value)
+        return lambda texts: [not x[3] for x in judge(kept, texts)]
+
+    return filter_rows(df, text, make)
+
+
 def predict(df: DataFrame, models: LanguageModels, key: str = "doc_id", text: str = "text", extra: dict[str, Column] | None = None) -> DataFrame:
     """key, the extra columns, lang_pred, score, cross_entropy, rejected. The models, whose size SAMPLE bounds, are broadcast."""
     shared = df.sparkSession.sparkContext.broadcast(pickle.dumps(models))
@@ -269,22 +298,9 @@ def predict(df: DataFrame, models: LanguageModels, key: str = "doc_id", text: st
 
     def make():
         kept = memory(shared.value)
-        m = kept.models
-
-        def one(t: str, words: Counter, entropy: np.ndarray | None) -> tuple[str, float, float | None, bool]:
-            if entropy is None or not m.languages:
-                return UNDETERMINED, 0.0, None, True
-            i = int(entropy.argmin())
-            share = 1 / float(np.exp(SHARPNESS * (entropy[i] - entropy)).sum())
-            limit = m.mean[i] + SPREAD * m.spread[i] / math.sqrt(sum(words.values())) + SLACK
-            return m.languages[i], share, float(entropy[i]), bool(entropy[i] > limit)
 
         def work(rows: dict[str, list]) -> dict[str, list]:
-            found = [Counter(words_of(t)) if has_letter(t) else Counter() for t in rows["t"]]
-            full = [f for f in found if f]
-            entropies = iter(kept.cross_entropy(full) if m.languages else [None] * len(full))
-            got = [one(t, f, next(entropies) if f else None) for t, f in zip(rows["t"], found, strict=True)]
-            columns = zip(*got, strict=True) if got else [[]] * 4
+            columns = zip(*judge(kept, rows["t"]), strict=True)
             return {"k": rows["k"]} | {c: rows[c] for c in names} | dict(zip(("lang_pred", "score", "cross_entropy", "rejected"), map(list, columns), strict=True))
 
         return work

@@ -18,6 +18,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.types import DataType, StructField, StructType
 
 from amberline.functions.slots import Window
@@ -25,7 +26,18 @@ from amberline.operators import rows
 
 log = logging.getLogger(__name__)
 
-TYPES = {"boolean": "boolean", "date": "date", "decimal": "decimal(32,3)", "double": "double", "float": "float", "int": "int", "long": "bigint", "string": "string", "timestamp": "timestamp_ntz", "timestamptz": "timestamp"}
+TYPES: dict[str, DataType] = {
+    "boolean": T.BooleanType(),
+    "date": T.DateType(),
+    "decimal": T.DecimalType(32, 3),
+    "double": T.DoubleType(),
+    "float": T.FloatType(),
+    "int": T.IntegerType(),
+    "long": T.LongType(),
+    "string": T.StringType(),
+    "timestamp": T.TimestampNTZType(),
+    "timestamptz": T.TimestampType(),
+}
 #: Written with every row; ids follow the business columns'.
 AUDIT = (("source_data", "string"), ("status", "string"), ("ingestion_time", "timestamptz"), ("ingestion_date", "date"), ("execution_id", "string"))
 AUDIT_ID = 9001
@@ -38,7 +50,7 @@ HEADER = ["field_id", "name", "type", "is_identifier", "required", "doc", "parti
 def data_type(name: str) -> DataType:
     if name not in TYPES:
         raise ValueError(f"unknown type {name!r}")
-    return StructType.fromDDL(f"c {TYPES[name]}")[0].dataType
+    return TYPES[name]
 
 
 @dataclass(frozen=True)

@@ -58,7 +58,7 @@ def gram_hashes(chars: np.ndarray, starts: np.ndarray, n: int) -> tuple[np.ndarr
     n characters that end at each place, and where these lie within one word."""
     h = np.full(len(chars), n, np.uint64)
     for back in range(n):
-        h[back:] += (chars[: len(chars) - back] + np.uint64(1)) * MULTIPLIER[back]
+        h[back:] += (chars[: max(0, len(chars) - back)] + np.uint64(1)) * MULTIPLIER[back]
     h ^= h >> np.uint64(31)
     h *= np.uint64(0x94D049BB133111EB)
     h ^= h >> np.uint64(29)

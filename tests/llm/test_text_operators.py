@@ -206,6 +206,7 @@ def near_copies(seed, groups=6, members=12):
 def test_jaccard_join_is_brute_force(spark, monkeypatch, seed, words, num, den, rare, factor):
     monkeypatch.setattr(ngram_join, "RARE", rare)
     monkeypatch.setattr(ngram_join, "OPEN_FACTOR", factor)
+    monkeypatch.setattr(ngram_join, "LATER_FACTOR", factor)
     texts = near_copies(seed)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.jaccard_components(frame(spark, texts), words, num, den).collect()}
     assert got == brute_components(texts, words, num, den)

@@ -298,7 +298,8 @@ class Lake:
         lo, hi = df.agg(F.min(column), F.max(column)).first()
         if lo is None and df.isEmpty():
             return None
-        rows.require_unique(df, spec.keys, spec.name) if spec.keys else None
+        if spec.keys:
+            rows.require_unique(df, spec.keys, spec.name)
         v, now = self._current(spec)
         new = rows.align(df, now.schema)
         self.require_values(new, now)

@@ -2,7 +2,6 @@ import datetime as dt
 from decimal import Decimal
 
 import pytest
-from pyspark.sql import functions as F
 
 from amberline.functions.holidays import holiday_table
 from amberline.functions.slots import Window
@@ -149,4 +148,3 @@ def test_declared_tables_fit_the_plans(spark):
     assert [c for c in declared.UNIT_COLUMNS.values() if c.startswith("timeslot")] == list(silver.UNIT_SLOTS) and len(declared.UNIT_COLUMNS) == 56
     assert all(f.dataType.simpleString() == "string" for f in declared.SPOT.schema.fields[:19])
     assert declared.UNIT_COLUMNS["24:00[kWh]"] == "timeslot_24_00"
-    assert F is not None

@@ -202,16 +202,28 @@ def near_copies(seed, groups=6, members=12):
     return out
 
 
-@pytest.mark.parametrize(("seed", "words", "num", "den", "rare", "factor"), [(1, 4, 85, 100, 32, 32), (2, 5, 80, 100, 2, 0), (3, 4, 85, 100, 1, 0), (4, 2, 60, 100, 3, 1)])
-def test_jaccard_join_is_brute_force(spark, monkeypatch, seed, words, num, den, rare, factor):
-    monkeypatch.setattr(ngram_join, "RARE", rare)
-    monkeypatch.setattr(ngram_join, "OPEN_FACTOR", factor)
-    monkeypatch.setattr(ngram_join, "LATER_FACTOR", factor)
-    texts = near_copies(seed)
+@pytest.mark.parametrize(
+    ("seed", "words", "num", "den", "rare", "small", "factor", "members"),
+    [(1, 4, 85, 100, 32, 32, 8, 12), (2, 5, 80, 100, 2, 1, 0, 25), (3, 4, 85, 100, 1, 3, 0, 40), (4, 2, 60, 100, 3, 2, 0.1, 25)],
+)
+def test_jaccard_join_is_brute_force(spark, monkeypatch, seed, words, num, den, rare, small, factor, members):
+    """With a factor of 0 every round goes by pivots and relative tokens."""
+    for name, value in (("RARE", rare), ("SMALL", small), ("PAIRS_A_ROW", factor)):
+        monkeypatch.setattr(ngram_join, name, value)
+    texts = near_copies(seed, members=members)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.jaccard_components(frame(spark, texts), words, num, den).collect()}
     assert got == brute_components(texts, words, num, den)
 
 
+def test_jaccard_join_with_repeated_ids(spark):
+    """Every row is a document of its own: each of two texts of one id links with its own near copy."""
+    a, b = prose(1, 80).split(), prose(2, 80).split()
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (2, " ".join([*a, "end"])), (3, " ".join([*b, "end"])), (None, " ".join([*b, "fin"])), (7, "alone it is")]
+    for some in (rows, rows[::-1]):
+        found = ngram_join.jaccard_components(spark.createDataFrame(some, "doc_id bigint, text string"), 5, 80, 100).collect()
+        assert sorted(((r.doc_id or 0), r.component_id) for r in found) == [(0, 1), (1, 1), (1, 1), (2, 1), (3, 1), (7, 7)]
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.integers(0, 2**32), st.sampled_from([(85, 100), (80, 100), (1, 2)]), st.sampled_from([1, 3, 1000]))
 def test_prefixes_lose_no_pair(seed, threshold, rare):

@@ -36,12 +36,12 @@ CLASS = {"hex": frozenset("0123456789abcdefABCDEF"), "base64": frozenset("ABCDEF
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]{%d,}" % WINDOW)
 ALLOW = [
     re.compile(r"[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}"),  # UUIDs
-    re.compile(r"(?i).*(?:example|placeholder|changeme|your[_-]|dummy|sample|xxxx|0123456789|abcdefgh).*"),
-    re.compile(r"(?:[A-Za-z]?[a-z]*|[A-Z]*)(?:[/_+-](?:[A-Za-z]?[a-z]*|[A-Z]*|[0-9]{1,4}))*"),  # words, paths, slugs
     re.compile(r"[0-9+/_-]+"),  # numbers and dates
 ]
-#: c * log2(c) for each count a window can have.
-TERM = [c * math.log2(c) if c else 0.0 for c in range(WINDOW + 1)]
+PLACEHOLDER = re.compile(r"(?i)example|placeholder|changeme|your[_-]|dummy|sample|xxxx|0123456789|abcdefgh")
+JOINT, WORD, NUMBER = re.compile(r"[/_+-]"), re.compile(r"[A-Za-z]?[a-z]*|[A-Z]*"), re.compile(r"[0-9]{1,4}")
+#: c * log2(c) for each count a window can have, and one more before the oldest character goes.
+TERM = [c * math.log2(c) if c else 0.0 for c in range(WINDOW + 2)]
 
 
 def window_entropy(candidate: str, kind: str) -> float:
@@ -65,8 +65,18 @@ def window_entropy(candidate: str, kind: str) -> float:
     return best
 
 
+def is_slug(candidate: str) -> bool:
+    """Words, paths, slugs: between joints, words of one case or, after the first, short numbers. Each piece is looked at once."""
+    first, *rest = JOINT.split(candidate)
+    return bool(WORD.fullmatch(first)) and all(WORD.fullmatch(x) or NUMBER.fullmatch(x) for x in rest)
+
+
+def is_allowed(candidate: str) -> bool:
+    return bool(any(x.fullmatch(candidate) for x in ALLOW) or PLACEHOLDER.search(candidate) or is_slug(candidate))
+
+
 def is_secret(candidate: str) -> bool:
-    if any(x.fullmatch(candidate) for x in ALLOW):
+    if is_allowed(candidate):
         return False
     has_digit = any(c.isdigit() for c in candidate)
     has_upper, has_lower = any("A" <= c <= "Z" for c in candidate), any("a" <= c <= "z" for c in candidate)
@@ -86,9 +96,13 @@ def pattern_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def entropy_spans(text: str, found: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    out = []
+    """found: sorted spans of the patterns. Candidates and spans are gone through once, side by side."""
+    out, i, reach = [], 0, 0
     for m in CANDIDATE.finditer(text):
-        if not any(s < m.end() and m.start() < e for s, _, e in found) and is_secret(m[0]):
+        while i < len(found) and found[i][0] < m.end():
+            reach = max(reach, found[i][2])
+            i += 1
+        if reach <= m.start() and is_secret(m[0]):
             out.append((m.start(), 3, m.end()))
     return out
 

@@ -3,13 +3,15 @@
 A transcript is a conversation's rows in order, each split into lines. A line shows: the speaker its marker names (the role
 column on a row's first line, or a marker such as ``User:`` at the line's start), whether it starts a row, whether it asks,
 its length, whether it looks like a list or code. States are (role, first or later line of a turn). How roles follow each
-other and which lines they write is counted on the rows whose role is known; markers are trusted up to a fixed doubt, so a
-missing, unknown or contradicted marker is decided by what stands around it.
+other and which lines they write is counted on the rows whose role is known. A row whose role is known stays whole: its lines
+are of that role, unless a line of it has a marker of its own. Such markers, and those in rows of no known role, are trusted
+up to a fixed doubt, so a missing, unknown or contradicted marker is decided by what stands around it.
 
 Conversations are cut into parts of PART turns, by turn number. The best path through a part is, for each state before it
 and each state at its end, a number; these small matrices, combined in order, give the states at the borders, and each
 part is then decoded on its own. The result is that of one Viterbi run over the whole conversation, and no task holds
-more than a part.
+more than a part. The result's key is (conversation, part): a conversation of more than PART turns has several rows, and
+``continues`` says whether a part's first turn goes on from the part before.
 
 A null text is an empty line. A null or unknown role is no marker. Rows with a null turn come first, equal turns in the order of
 role and text. A null conversation is a conversation of its own. Extra columns are not read. An empty table gives an empty
@@ -65,7 +67,7 @@ class Model:
         more = (stay[:, 0] + 1) / (stay.sum(1) + 2)
         self.start = np.concatenate([share(first), np.full(3, -np.inf)])
         self.step = np.full((6, 6), -np.inf)
-        follows = share(follow)
+        follows = np.log((1 - DOUBT) * np.exp(share(follow)) + DOUBT / 3)  # a role may follow itself, though it never has
         for a in range(6):
             self.step[a, :3] = np.log1p(-more[a % 3]) + follows[a % 3]
             self.step[a, 3 + a % 3] = math.log(more[a % 3])
@@ -78,19 +80,28 @@ class Model:
         self.row[1, 3:] = math.log(DOUBT)
         self.row[0, :3] = math.log(DOUBT)
 
-    def emission(self, mark: int | None, first: bool, inline: bool, line: str) -> np.ndarray:
+    def emission(self, mark: int | None, first: bool, inline: bool, line: str, held: bool) -> np.ndarray:
         f = features(line)
-        return self.marks[3 if mark is None else mark] + self.row[int(first or inline)] + sum(self.lines[k][:, v] for k, v in f.items())
+        out = self.marks[3 if mark is None else mark] + self.row[int(first or inline)] + sum(self.lines[k][:, v] for k, v in f.items())
+        if held:  # the row's role is known, and the line has no marker of its own
+            out = np.where(np.arange(6) % 3 == mark if first else np.arange(6) > 2, out, -np.inf)
+        return out
 
 
-def lines_of(rows: list[tuple[str | None, str | None]]) -> list[tuple[int | None, bool, bool, str]]:
-    """(marked role, starts a row, has its own marker, text) of each line of (role, text) rows."""
+def known_role(role: str | None) -> int | None:
+    return ROLE_OF.get((role or "").strip().lower())
+
+
+def lines_of(rows: list[tuple[str | None, str | None]]) -> list[tuple[int | None, bool, bool, str, bool]]:
+    """(marked role, starts a row, has its own marker, text, whether the row's known role holds) of each line of (role, text)
+    rows."""
     out = []
     for role, text in rows:
+        known = known_role(role)
         for n, line in enumerate((text or "").split("\n")):
             own, rest = marker(line)
-            mark = own if own is not None else ROLE_OF.get((role or "").strip().lower()) if not n else None
-            out.append((mark, not n, own is not None, rest))
+            mark = own if own is not None else known if not n else None
+            out.append((mark, not n, own is not None, rest, known is not None and own is None))
     return out
 
 
@@ -162,8 +173,9 @@ def fit(rows: DataFrame) -> Model:
     first, follow, stay = np.zeros(3), np.zeros((3, 3)), np.zeros((3, 2))
     for r in known.filter("turn = 0").groupBy("r").count().collect():
         first[r["r"]] = r["count"]
-    ahead = known.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("r").alias("before"))
-    for r in known.join(ahead, ["conv_id", "turn"]).groupBy("before", "r").count().collect():
+    at = known.groupBy("conv_id", "turn", "r").agg(F.count(F.lit(1)).alias("n"))  # repeated turns: at most a row for each role
+    ahead = at.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("r").alias("before"), F.col("n").alias("m"))
+    for r in at.join(ahead, ["conv_id", "turn"]).groupBy("before", "r").agg(F.sum(F.least("n", "m")).alias("count")).collect():
         follow[r["before"], r["r"]] = r["count"]
     line = F.col("line")
     listed = line.rlike(LISTED.pattern)
@@ -180,7 +192,8 @@ def fit(rows: DataFrame) -> Model:
 
 def format_chats(df: DataFrame, conversation: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """One row for each part of each conversation (most have one): conv_id, part, n_rows, n_turns, roles, rendered,
-    rendered_sha256, n_changed (rows whose given role is known and was overruled, or was unknown and is now recovered)."""
+    rendered_sha256, continues, n_changed (rows whose given role was unknown and is now recovered, or of which a line with a
+    marker of its own made a part another role's)."""
     rows = df.select(F.col(conversation).alias("conv_id"), F.col(turn).alias("turn"), F.col(role).alias("role"), F.col(text).alias("text"))
     model = fit(rows)
     rows = rows.withColumn("part", F.coalesce(F.greatest(F.expr(f"turn div {PART}"), F.lit(0)), F.lit(0)).cast("bigint"))
@@ -197,7 +210,7 @@ def format_chats(df: DataFrame, conversation: str = "conv_id", turn: str = "turn
         work = rows.join(border, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("part") == F.col("p")), "left").drop("c", "p")
     else:
         work = work.withColumn("before", F.lit(None).cast("int")).withColumn("after", F.lit(None).cast("int"))
-    schema = f"conv_id {kind}, part bigint, n_rows bigint, n_turns bigint, roles string, rendered string, rendered_sha256 string, n_changed bigint"
+    schema = f"conv_id {kind}, part bigint, n_rows bigint, n_turns bigint, roles string, rendered string, rendered_sha256 string, continues boolean, n_changed bigint"
     arrow = to_arrow_schema(StructType.fromDDL(schema))
     return sorted_parts(work, ["before", "after"]).mapInArrow(lambda b: parts_done(b, shared, "turns", arrow), schema)
 
@@ -230,9 +243,13 @@ def parts_done(batches: Iterator[pa.RecordBatch], shared, what: str, arrow: pa.S
         path, lines = decode(model, given, first["before"], first["after"])
         found = turns(path, lines, opened=first["before"] is None)
         text = render(found)
-        starts = [s for s, line in zip(path, lines, strict=True) if line[1]]
-        changed = sum(ROLE_OF.get((role or "").strip().lower()) != s % 3 for (role, _), s in zip(given, starts, strict=True))
-        return {"conv_id": first["conv_id"], "part": first["part"], "n_rows": len(held), "n_turns": len(found), "roles": ",".join(r for r, _ in found), "rendered": text, "rendered_sha256": hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest(), "n_changed": changed}
+        roles: list[set[int]] = []  # of each row's lines
+        for s, line in zip(path, lines, strict=True):
+            if line[1]:
+                roles.append(set())
+            roles[-1].add(s % 3)
+        changed = sum(found_roles != {known_role(role)} if known_role(role) is not None else True for (role, _), found_roles in zip(given, roles, strict=True))
+        return {"conv_id": first["conv_id"], "part": first["part"], "n_rows": len(held), "n_turns": len(found), "roles": ",".join(r for r, _ in found), "rendered": text, "rendered_sha256": hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest(), "continues": first["before"] is not None and path[0] > 2, "n_changed": changed}
 
     out: list[dict] = []
     for batch in batches:

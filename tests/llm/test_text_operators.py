@@ -359,7 +359,7 @@ def test_viterbi_is_the_best_of_all_paths(spark):
     import itertools
 
     model = chat.fit(chats(spark))
-    given_rows = [(None, "a?"), ("bot", "x\ny"), (None, "User: z")]
+    given_rows = [(None, "a?"), ("bot", "x\ny"), ("bot", "User: z")]
     path, lines = chat.decode(model, given_rows)
 
     def weight(p):
@@ -371,6 +371,24 @@ def test_viterbi_is_the_best_of_all_paths(spark):
     assert weight(path) == pytest.approx(max(weight(p) for p in itertools.product(range(6), repeat=len(lines))))
 
 
+def test_labelled_rows_stay_whole(spark):
+    """Strictly alternating rows teach that no role follows itself; a conversation where one does keeps its speakers."""
+    rows = [(c, t, ("user", "assistant")[t % 2], "one\ntwo\n- more") for c in range(200) for t in range(4)]
+    rows += [(999, 0, "user", "hello\n- more"), (999, 1, "assistant", "a\n- more"), (999, 2, "assistant", "b\n- more?"), (999, 3, "user", "c")]
+    found = chat.format_chats(spark.createDataFrame(rows, "conv_id int, turn int, role string, text string")).filter("conv_id = 999").first()
+    turns = re.findall(r"<\|(\w+)\|>\n(.*?)\n<\|end\|>", found.rendered, re.S)
+    said = defaultdict(str)
+    for role, text in turns:
+        said[role] += text + "\n"
+    assert said["user"] == "hello\n- more\nc\n" and said["assistant"] == "a\n- more\nb\n- more?\n" and found.n_changed == 0 and found.n_rows == 4
+
+
+def test_a_marker_inside_a_labelled_row_splits_it(spark):
+    rows = [(c, t, ("user", "assistant")[t % 2], "what is it?" if t % 2 == 0 else "- it is this") for c in range(50) for t in range(4)] + [(99, 0, "user", "what is it?"), (99, 1, "assistant", "- it is this\nUser: what is that?")]
+    found = chat.format_chats(spark.createDataFrame(rows, "conv_id int, turn int, role string, text string")).filter("conv_id = 99").first()
+    assert found.roles == "user,assistant,user" and found.n_changed == 1
+
+
 def test_markers_in_transcripts(spark):
     rows = chat.format_chats(spark.createDataFrame([(1, 0, None, "Human: hi\nthere\n\n### Assistant\nhello\nUser: bye", 1)], "conv_id int, turn int, role string, text string, part int")).collect()
     assert rows[0].roles == "user,assistant,user" and rows[0].rendered == "<|user|>\nhi\nthere\n<|end|>\n<|assistant|>\nhello\n<|end|>\n<|user|>\nbye\n<|end|>\n"
@@ -490,6 +508,32 @@ def test_window_entropy_by_definition(text):
     assert secrets.window_entropy(text, "base64") == pytest.approx(best, abs=1e-9)
 
 
+def test_rulers_and_secrets_in_long_lines_scan_in_linear_time():
+    import time
+
+    for text in ("-" * 40 + "v2Ab", "-/" * 1_000_000 + "Ab1" + "-/" * 1_000_000, "a_B-" * 500_000 + "Ab1", "token=abcdefgh12345678 " * 40_000):
+        began = time.perf_counter()
+        base = secrets.pattern_spans(text)
+        secrets.entropy_spans(text, base)
+        assert time.perf_counter() - began < 30
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text("aB1-/_", max_size=14))
+def test_slugs_are_what_the_expression_says(text):
+    assert secrets.is_slug(text) == bool(re.fullmatch(r"(?:[A-Za-z]?[a-z]*|[A-Z]*)(?:[/_+-](?:[A-Za-z]?[a-z]*|[A-Z]*|[0-9]{1,4}))*", text))
+
+
+def test_base_digests_of_plain_patterns(spark):
+    texts = ['password: "abcdefgh1" and TOKEN=ABCDEFG', "AKIA" + "Z" * 12 + " " + "0f" * 16 + " " + "0f" * 15, "api_key = a" * 3, "secret:" + "x" * 9 + " token=" + "f" * 40, None]
+    rows = {r.doc_id: r for r in secrets.scan_secrets(frame(spark, texts)).collect()}
+    for i, t in enumerate(texts):
+        base = sorted(brute_spans(t or ""))
+        spans = ",".join(f"{secrets.KINDS[k]}:{s}:{e}" for s, k, e in base)
+        assert rows[i].base_sha256 == hashlib.sha256(spans.encode()).hexdigest()
+        assert [rows[i].n_assign, rows[i].n_access, rows[i].n_hex] == [sum(b[1] == k for b in base) for k in range(3)]
+
+
 def test_entropy_spans(spark):
     key = "zQ3vR8pLw1Xk9Tn4Yb7Mc2Hd"
     texts = [f"a {key} b", "internationalization of counterrevolutionaries", "123e4567-e89b-12d3-a456-426614174000", "/usr/local/share/some/long/path/names", f'token = "{key}"', None]

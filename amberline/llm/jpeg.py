@@ -4,9 +4,10 @@ Reading: markers are parsed, the scan's Huffman codes decoded, and only the DC t
 sample for each 8 x 8 pixels, a thumbnail. AC codes are decoded to be skipped. A scan is decoded in lanes: each restart
 interval of each image of a batch is a lane, and all lanes take a step together in numpy.
 
-Storing bytes: each byte is the DC term of a flat block (quantiser 8, so a step is one grey level), 24 blocks to a row, a
-restart marker after each row. The thumbnail of such an image is the stored bytes, without loss. Images hold at most
-MOST_ROWS rows; longer payloads go to several images, one after another in the same stream.
+Storing bytes: each byte is the DC term of a flat block (quantiser 8, so a step is one grey level), 24 blocks to a row, or the
+next multiple of 24 with which the rows fit into one image's height; a restart marker after each row. The thumbnail of such
+an image is the stored bytes, without loss. What no width of up to MOST_WIDE blocks can hold (4.7 MB and more) goes to
+several images, one after another in the same stream.
 
 Rows: a null text is an empty one, whose payload is one unit of filling bytes. A null medium gives null features; bytes
 that are no baseline JPEG give null features and say why in ``error``. Other columns are not read. Repeated rows give
@@ -30,6 +31,8 @@ from amberline.llm.common import map_rows, table, text_or_empty
 WIDE = 24  # blocks in a row
 UNIT = WIDE * 24  # payloads are filled up to a multiple of this
 FILL = b"\xff"
+MOST_WIDE = 8184  # blocks in a row, for longer payloads
+AT_ONCE = 1 << 18  # blocks that are packed together
 MOST_ROWS = 8184  # a multiple of 24; 65,535 pixels are the format's limit
 
 # Fixed values of the format: the customary DC luminance code (ITU T.81, table K.3), as counts by length and symbols.
@@ -86,16 +89,16 @@ def segment(marker: int, body: bytes) -> bytes:
     return struct.pack(">BBH", 0xFF, marker, len(body) + 2) + body
 
 
-def header(rows: int) -> bytes:
+def header(rows: int, wide: int) -> bytes:
     return b"".join(
         [
             b"\xff\xd8",
             segment(0xE0, b"JFIF\0\1\1\0\0\1\0\1\0\0"),
             segment(0xDB, b"\0" + bytes([8] * 64)),
-            segment(0xC0, struct.pack(">BHHB", 8, rows * 8, WIDE * 8, 1) + bytes([1, 0x11, 0])),
+            segment(0xC0, struct.pack(">BHHB", 8, rows * 8, wide * 8, 1) + bytes([1, 0x11, 0])),
             segment(0xC4, b"\x00" + DC_COUNTS + DC_SYMBOLS),
             segment(0xC4, b"\x10" + AC_COUNTS + AC_SYMBOLS),
-            segment(0xDD, struct.pack(">H", WIDE)),
+            segment(0xDD, struct.pack(">H", wide)),
             segment(0xDA, bytes([1, 1, 0x00, 0, 63, 0])),
         ]
     )
@@ -125,9 +128,25 @@ def store(payload: bytes) -> bytes:
     """payload, of a multiple of UNIT bytes, as one or more images."""
     if not payload or len(payload) % UNIT:
         raise ValueError(f"a payload has a positive multiple of {UNIT} bytes")
-    samples = np.frombuffer(payload, np.uint8).reshape(-1, WIDE)
+    wide = width(len(payload))
+    samples = np.frombuffer(payload, np.uint8).reshape(-1, wide)
     parts = [samples[at : at + MOST_ROWS] for at in range(0, len(samples), MOST_ROWS)]
-    return b"".join(header(len(x)) + pack_rows(x).tobytes() + b"\xff\xd9" for x in parts)
+    return b"".join(header(len(x), wide) + pack(x) + b"\xff\xd9" for x in parts)
+
+
+def width(blocks: int) -> int:
+    """The least multiple of 24 blocks that divides them into rows of one image; or 576, which always divides them."""
+    for wide in range(WIDE, MOST_WIDE + 1, WIDE):
+        if blocks % wide == 0 and blocks // wide <= MOST_ROWS:
+            return wide
+    return UNIT
+
+
+def pack(samples: np.ndarray) -> bytes:
+    """The entropy-coded bytes of an image, some rows at a time; restart markers count on."""
+    rows = max(8, AT_ONCE // samples.shape[1] // 8 * 8)
+    parts = [pack_rows(samples[at : at + rows]).tobytes() for at in range(0, len(samples), rows)]
+    return b"\xff\xd7".join(parts)  # each part but the last has a multiple of 8 rows
 
 
 # ---- reading ----------------------------------------------------------------------------------------------------

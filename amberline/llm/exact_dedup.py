@@ -7,7 +7,7 @@ tens of bytes for each sampled row, never texts. As the id is part of the order,
 dealt over many partitions; runs of equal texts that cross a border are joined by comparing the last text of one partition
 with the first of the next.
 
-Only what a partition found about its two outer runs meets in one place, a few numbers for each partition.
+Only what a partition found about its two outer runs meets in one place, a few numbers for each partition, no texts.
 
 Nulls count as empty texts. Rows that share text and id are as good as each other: exactly one of a group stays. Ids may
 repeat; a null id is never the id that is kept if another is there. An empty table gives an empty result. Other columns
@@ -37,61 +37,60 @@ def unchanged(text: Column) -> Column:
 
 def runs(rows: DataFrame, carry: list[str], keep: str, only_kept: bool) -> DataFrame:
     """rows, sorted within partitions: of each its run (part, run), the run's rows and kept id in this partition, whether it
-    is the run's row to keep; and one row for each partition (edge) with its outer texts and runs."""
+    is the run's row to keep; and one row for each partition (edge) with its outer texts and runs. Of a run no more is held
+    than one row with its text and, unless only_kept, the ids of the others."""
     last = keep == "max"
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
         out: list[dict] = []
-        held: list[dict] = []  # of the current run
-        weight, n, run, size = 0, 0, -1, 0
-        before = first = first_run = None
-
-        def close() -> None:
-            nonlocal weight, n
-            row = held[-1] if last else held[0]
-            row["kept"] = True
-            for x in held:
-                x |= {"size": size, "keep_id": row["k"]}
-            out.extend(held)
-            n += len(held)
-            weight += sum(len(x["t"]) for x in held) if only_kept else 0
-            held.clear()
+        weight, run, size = 0, -1, 0
+        best: dict = {}  # the current run's row to keep
+        ids: list = []  # of the current run
+        before = first = first_run = last_run = None
 
         def flush() -> pa.RecordBatch:
-            nonlocal weight, n
+            nonlocal weight
             got = pa.RecordBatch.from_pylist([{c: x.get(c) for c in names} for x in out], schema=arrow)
             out.clear()
-            weight = n = 0
+            weight = 0
             return got
 
+        def close() -> Iterator[pa.RecordBatch]:
+            nonlocal weight, first_run, last_run
+            last_run = (size, best["k"])
+            first_run = first_run or last_run
+            of_run = {"edge": False, "part": part, "run": run, "h": best["h"], "size": size, "keep_id": best["k"]}
+            if only_kept:
+                out.append(best | of_run | {"kept": True})
+                weight += len(best["t"])
+            at = len(ids) - 1 if last else 0
+            for i, k in enumerate(ids):
+                out.append(of_run | {"k": k, "kept": i == at})
+                if len(out) >= FLUSH_ROWS:
+                    yield flush()
+            ids.clear()
+            if len(out) >= FLUSH_ROWS or weight >= FLUSH_BYTES:
+                yield flush()
+
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 for row in batch.slice(at, 256).to_pylist():
                     text = row["t"]
                     if before is None or text != before:
-                        if held:
-                            close()
-                            if run == 0:
-                                first_run = (size, out[-1]["keep_id"])
-                            if n >= FLUSH_ROWS or weight >= FLUSH_BYTES:
-                                yield flush()
-                        run, size = run + 1, 0
-                        if first is None:
-                            first = text
+                        if size:
+                            yield from close()
+                        run, size, best = run + 1, 0, {}
+                        first = text if first is None else first
                         before = text
                     size += 1
+                    if last or size == 1:
+                        best = row if only_kept else {"k": row["k"], "h": row["h"]}
                     if not only_kept:
-                        row = {c: v for c, v in row.items() if c != "t"}
-                    elif held and last:
-                        held.clear()
-                    elif held:
-                        continue
-                    held.append(row | {"edge": False, "part": part, "run": run, "kept": False})
-        if held:
-            close()
-            last_run = (size, out[-1]["keep_id"])
-            out.append({"edge": True, "part": part, "run": run, "first": first, "last": before, "first_size": (first_run or last_run)[0], "first_keep": (first_run or last_run)[1], "last_size": last_run[0], "last_keep": last_run[1]})
+                        ids.append(row["k"])
+        if size:
+            yield from close()
+            out.append({"edge": True, "part": part, "run": run, "first": first, "last": before, "first_size": first_run[0], "first_keep": first_run[1], "last_size": last_run[0], "last_keep": last_run[1]})
             yield flush()
 
     kind = rows.schema["k"].dataType
@@ -105,10 +104,11 @@ def runs(rows: DataFrame, carry: list[str], keep: str, only_kept: bool) -> DataF
 
 def chains(edges: DataFrame) -> DataFrame:
     """For the outer runs of all partitions: rows of the whole run, over all partitions it crosses, its kept id, and whether
-    this partition has the row to keep. A few numbers for each partition are ordered in one task."""
-    numbered = edges.withColumn("i", F.row_number().over(Window.orderBy("part")))
+    this partition has the row to keep. Only the partitions' numbers, and then a few numbers for each, are ordered in one
+    task; the texts at a border are compared in full where a shuffle brings the two together."""
+    numbered = edges.join(edges.select("part").withColumn("i", F.row_number().over(Window.orderBy("part"))), "part")
     ahead = numbered.select((F.col("i") + 1).alias("i"), F.col("last").alias("before"))
-    linked = numbered.join(ahead, "i", "left").select("*", F.coalesce(F.col("first") == F.col("before"), F.lit(False)).alias("goes_on"))
+    linked = numbered.join(ahead, "i", "left").withColumn("goes_on", F.coalesce(F.col("first") == F.col("before"), F.lit(False))).drop("first", "last", "before")
     outer = [F.struct(F.lit(0).cast("bigint").alias("run"), F.col("first_size").alias("size"), F.col("first_keep").alias("keep_id"), F.col("goes_on").alias("goes_on"))]
     outer += [F.struct(F.col("run"), F.col("last_size").alias("size"), F.col("last_keep").alias("keep_id"), F.lit(False).alias("goes_on"))]
     two = linked.select("part", F.inline(F.when(F.col("run") > 0, F.array(*outer)).otherwise(F.array(outer[0]))))

@@ -171,13 +171,11 @@ class LanguageModels:
         np.add.at(total, word, out)
         return total
 
-    def calibrate(self, texts: dict[str, list[Counter]]) -> None:
-        """Mean cross-entropy of each language's own texts, and the deviation of one word's about it."""
+    def calibrate(self, counts: dict[str, Counter]) -> None:
+        """Mean cross-entropy of the words of each language's own texts, and the deviation of one word's about it."""
         self.mean, self.spread = np.zeros(len(self.languages)), np.ones(len(self.languages))
         for i, x in enumerate(self.languages):
-            every = Counter()
-            for t in texts.get(x, []):
-                every.update(t)
+            every = counts.get(x)
             if not every:
                 continue
             words = list(every)
@@ -237,23 +235,27 @@ def fit(df: DataFrame, key: str, text: str, language: str, sample: int = SAMPLE)
     """Models from at most ``sample`` texts of each language in df, whole, the first in order of a hash of the key."""
     first = Window.partitionBy("l").orderBy("h", "k")
     rows = df.filter(F.col(language).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("k"), F.col(language).alias("l"), F.xxhash64(F.col(key).cast("string")).alias("h"), F.col(text).alias("t"))
-    some = rows.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= sample).select("l", "n", "t").collect()
+    some = rows.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= sample).select("l", (F.col("n") % 5 == 0).alias("aside"), "t")
+
+    def make():
+        def work(r: dict[str, list]) -> dict[str, list]:
+            found = [Counter(words_of(t)) for t in r["t"]]
+            return {c: [x for x, f in zip(r[c], found, strict=True) for _ in f] for c in ("l", "aside")} | {"word": [w for f in found for w in f], "n": [n for f in found for n in f.values()]}
+
+        return work
+
+    kind = df.schema[language].dataType.simpleString()
+    # what comes to the driver are the distinct words of the sampled texts, with their numbers
+    counted = map_rows(some, make, f"l {kind}, aside boolean, word string, n bigint").groupBy("l", "aside", "word").agg(F.sum("n").alias("n"))
     words: dict[str, Counter] = defaultdict(Counter)
-    unseen: dict[str, list[Counter]] = defaultdict(list)
-    for r in sorted(some, key=lambda r: (r["l"], r["n"])):
-        found = Counter(words_of(r["t"]))
-        if not found:
-            continue
-        if r["n"] % 5 == 0:
-            unseen[r["l"]].append(found)
-        else:
-            words[r["l"]].update(found)
+    unseen: dict[str, Counter] = defaultdict(Counter)
+    for r in counted.sort("l", "aside", "word").toArrow().to_pylist():
+        (unseen if r["aside"] else words)[r["l"]][r["word"]] = r["n"]
     for x in list(unseen):
         if x not in words:
-            for t in unseen[x]:
-                words[x].update(t)
+            words[x].update(unseen[x])
     models = LanguageModels(dict(words))
-    models.calibrate({x: unseen.get(x) or [words[x]] for x in words})
+    models.calibrate({x: unseen.get(x) or words[x] for x in words})
     return models
 
 

@@ -26,17 +26,22 @@ from amberline.llm.common import map_rows, table, text_or_empty
 
 #: Most pieces, and pairs, kept by one worker.
 KEEP = 400_000
+#: Keys longer than this are not kept.
+LONG = 64
 
 
 class Pieces(dict):
     """What ``find`` gives, by key, found on first use. Half of what is kept is older: what is asked for again is taken over
-    before the older half goes."""
+    before the older half goes. Text or bytes of more than LONG characters are found anew each time, so that what is kept is
+    bounded by bytes as well as by number."""
 
     def __init__(self, find, keep: int = KEEP):
         super().__init__()
         self.find, self.half, self.old = find, keep // 2, {}
 
     def __missing__(self, key):
+        if isinstance(key, (str, bytes)) and len(key) > LONG:
+            return self.find(key)
         if len(self) >= self.half:
             self.old = dict(self)
             self.clear()

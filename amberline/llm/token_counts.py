@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from amberline.llm.byte_pairs import LONG
 from amberline.llm.common import map_rows, table, text_or_empty
 
 #: Most distinct pre-tokens whose counts one worker keeps.
@@ -57,10 +58,14 @@ class PieceCounter:
             self.pieces.clear()
         known = self.pieces
         new = list({p for f, _ in documents for p in f if p not in known})
+        long = [p for p in new if len(p) > LONG]  # not kept beyond these texts
         for at in range(0, len(new), AT_ONCE):
             some = new[at : at + AT_ONCE]
             known.update(zip(some, map(len, self.library.encode_batch_fast(some, add_special_tokens=False)), strict=True))
-        return [sum(map(mul, f.values(), map(known.__getitem__, f))) + n for f, n in documents]
+        out = [sum(map(mul, f.values(), map(known.__getitem__, f))) + n for f, n in documents]
+        for p in long:
+            del known[p]
+        return out
 
 
 @lru_cache(maxsize=2)

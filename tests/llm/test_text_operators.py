@@ -68,11 +68,46 @@ def test_jpeg_round_trip(data):
     assert picture.tobytes() == payload and (scan.width, scan.height) == (192, len(payload) // 3)
 
 
-def test_long_payloads_take_several_images(monkeypatch):
+def test_long_payloads_take_wider_images(monkeypatch):
+    monkeypatch.setattr(jpeg, "AT_ONCE", 576 * 8)
+    r = random.Random(1)
+    for size in (576 * 341, 576 * 342, 576 * 1000, 576 * 1009):
+        payload = r.randbytes(size)
+        ((scan, picture),) = jpeg.thumbnails([jpeg.store(payload)])[0]
+        assert picture.tobytes() == payload and scan.height <= 65535 and scan.width % 192 == 0
     monkeypatch.setattr(jpeg, "MOST_ROWS", 24)
-    payload = bytes(random.Random(1).randrange(256) for _ in range(576 * 3))
+    monkeypatch.setattr(jpeg, "MOST_WIDE", 24)
+    payload = r.randbytes(576 * 31)
     (images,) = jpeg.thumbnails([jpeg.store(payload)])
-    assert len(images) == 3 and b"".join(p.tobytes() for _, p in images) == payload
+    assert len(images) == 2 and b"".join(p.tobytes() for _, p in images) == payload
+
+
+def test_text_media_against_a_plain_version(spark):
+    """Digests by hand, and the stored form read by a decoder of its own: bit by bit, a dictionary of the codes."""
+    texts = ["", "abc", "Grüße " * 300, "x" * 576, "日本" * 200, None, "abc"]
+    rows = {r.doc_id: r for r in jpeg.text_media(frame(spark, texts)).collect()}
+    media = {r.doc_id: bytes(r.media) for r in jpeg.store_texts(frame(spark, texts)).collect()}
+    codes = {(length, code): size for size, (code, length) in enumerate(jpeg.codes(jpeg.DC_COUNTS))}
+    for i, t in enumerate(texts):
+        data = (t or "").encode()
+        payload = data + b"\xff" * ((-len(data)) % 576 or (0 if data else 576))
+        assert rows[i].n_bytes == len(data) and rows[i].payload_bytes == len(payload) and rows[i].payload_sha256 == hashlib.sha256(payload).hexdigest()
+        assert rows[i].tail_crc32 == zlib.crc32(payload[-32:]) and rows[i].media_sha256 == hashlib.sha256(media[i]).hexdigest() and rows[i].media_bytes == len(media[i])
+        scan = media[i][media[i].index(b"\xff\xda") + 10 : -2]
+        back = []
+        for interval in re.split(rb"\xff[\xd0-\xd7]", scan):
+            bits = "".join(f"{b:08b}" for b in interval.replace(b"\xff\x00", b"\xff"))
+            at, level = 0, 0
+            for _ in range(24):
+                n = next(n for n in range(1, 17) if (n, int(bits[at : at + n], 2)) in codes)
+                size = codes[n, int(bits[at : at + n], 2)]
+                at += n
+                value = int(bits[at : at + size] or "0", 2)
+                level += value if not size or value >> (size - 1) else value - (1 << size) + 1
+                at += size + 1  # and the end of block
+                back.append(level + 128)
+        assert bytes(back) == payload
+    assert rows[1].feature == rows[6].feature and rows[1].media_sha256 == rows[6].media_sha256
 
 
 def encoder(width, height, parts, dc, ac, every=0):

@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-#: Ids of at most this many rows (8 MB) may be broadcast; more are joined by a shuffle.
-BROADCAST_ROWS = 1_000_000
+#: Narrow rows may be broadcast if they are at most so many and their values take at most so many bytes; else a shuffle joins.
+BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 24 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,9 +22,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder every executor sees: spark.checkpoint.dir. Only where a session has none, as in tests, one is made."""
+    """The folder every executor sees: spark.checkpoint.dir. Only a local session without one, as in tests, gets one made;
+    on a cluster a folder of this machine would be another folder on each executor."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="amberline-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -52,8 +55,10 @@ class Stage:
 
 
 def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """Whether df has at most so many rows; counts no further than that."""
-    return df.limit(rows + 1).count() <= rows
+    """Whether df has at most so many rows, of at most BROADCAST_BYTES; looks no further than that many rows."""
+    sizes = [F.coalesce(F.octet_length(f.name), F.lit(0)) if f.dataType.typeName() in ("string", "binary") else F.lit(8) for f in df.schema]
+    n, size = df.limit(rows + 1).agg(F.count(F.lit(1)), F.sum(sum(sizes, F.lit(0)).cast("bigint"))).first()
+    return n <= rows and (size or 0) <= BROADCAST_BYTES
 
 
 def join_by_size(left: DataFrame, right: DataFrame, on: list[str] | str, how: str = "inner", rows: int = BROADCAST_ROWS) -> DataFrame:

@@ -213,8 +213,12 @@ def main(argv: list[str] | None = None, workspace=None) -> int:
         workspace = Workspace(build_session(), a.root, FolderFetcher(a.source_folder) if a.source_folder else HttpFetcher(), a.base_url)
     out = command.run(a, workspace)
     print(out)
-    from amberline.plans.orchestrate import Step, any_failed
+    from amberline.plans.orchestrate import FAILED, Counts, Step, any_failed, verdict
 
+    if isinstance(out, Counts):
+        status, detail = verdict(out)
+        print(status, detail)
+        return int(status == FAILED)
     return int(isinstance(out, list) and bool(out) and isinstance(out[0], Step) and any_failed(out))
 
 

@@ -15,13 +15,17 @@ def no_thousands(c: Column) -> Column:
     return F.replace(c, F.lit(","), F.lit(""))
 
 
+def whole(c: Column, kind: str) -> Column:
+    """Whole numbers as they are; decimals rounded once, half away from zero, exponents read; ``''`` and the rest NULL."""
+    return F.coalesce(c.try_cast(kind), F.round(c.try_cast("decimal(38,18)"), 0).try_cast(kind))
+
+
 def to_long(c: Column) -> Column:
-    """Whole numbers, decimals rounded half away from zero, exponents read; ``''`` and the rest NULL."""
-    return F.round(c.try_cast("decimal(38,6)"), 0).try_cast("bigint")
+    return whole(c, "bigint")
 
 
 def to_int(c: Column) -> Column:
-    return F.round(c.try_cast("decimal(38,6)"), 0).try_cast("int")
+    return whole(c, "int")
 
 
 def to_double(c: Column) -> Column:

@@ -126,6 +126,10 @@ def stamp(df: DataFrame, status: str = "loaded", execution_id: str | None = None
     return df.withColumns(extra | ({"source_data": F.lit(source)} if source is not None else {}))
 
 
+#: Uncommitted files younger than this are left alone.
+ORPHAN_AGE = dt.timedelta(days=1)
+
+
 class Files:
     """Any file system that Spark reads."""
 
@@ -140,14 +144,16 @@ class Files:
         fs, p = self._at(path)
         return fs.exists(p)
 
-    def list(self, path: str) -> list[str]:
-        """Files below path, with their full names."""
+    def list(self, path: str, before: float | None = None) -> list[str]:
+        """Files below path, with their full names; only those last changed before that many milliseconds, if given."""
         fs, p = self._at(path)
         if not fs.exists(p):
             return []
         out, it = [], fs.listFiles(p, True)
         while it.hasNext():
-            out.append(it.next().getPath().toString())
+            f = it.next()
+            if before is None or f.getModificationTime() <= before:
+                out.append(f.getPath().toString())
         return sorted(out)
 
     def folders(self, path: str) -> list[str]:
@@ -190,6 +196,17 @@ class Version:
     rows: int | None = None
 
 
+@dataclass(frozen=True)
+class Staged:
+    """Written rows that no version names yet: their files, their number, the first and last day."""
+
+    spec: TableSpec
+    files: tuple[tuple[str, str], ...]
+    rows: int = 0
+    lo: dt.date | None = None
+    hi: dt.date | None = None
+
+
 class Lake:
     """Tables below a folder, ``root/namespace/table``."""
 
@@ -277,44 +294,66 @@ class Lake:
         v = self.provision(spec)
         return v, TableSpec(spec.name, StructType.fromJson(json.loads(v.schema)), spec.keys, v.partition, spec.sources)
 
-    @staticmethod
-    def require_values(df: DataFrame, spec: TableSpec) -> None:
-        if spec.required:
-            bad = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in spec.required]).first().asDict()
-            if wrong := {c: n for c, n in bad.items() if n}:
+    def _frame(self, name: str, schema: StructType, files: Sequence[tuple[str, str]]) -> DataFrame:
+        return self.spark.read.schema(StructType([replace_nullable(f) for f in schema])).parquet(*[f"{self.home(name)}/{p}" for p, _ in files])
+
+    def stage(self, spec: TableSpec, df: DataFrame, column: str | None = None, unique: bool = True) -> Staged:
+        """df, read once, as new files that no version names yet. Checks look at these files: required columns and, if unique,
+        keys. What fails is removed again. column: whose first and last value are asked for."""
+        now = self._current(spec)[1] if self.exists(spec.name) else spec
+        out = Staged(now, tuple(self._put(now, rows.align(df, now.schema))))
+        if not out.files:
+            return out
+        try:
+            back = self._frame(spec.name, now.schema, out.files)
+            bounds = [F.min(column), F.max(column)] if column else [F.lit(None), F.lit(None)]
+            n, lo, hi, *nulls = back.agg(F.count(F.lit(1)), *bounds, *[F.count_if(F.col(c).isNull()) for c in now.required]).first()
+            if wrong := {c: n for c, n in zip(now.required, nulls, strict=True) if n}:
                 raise ValueError(f"{spec.name}: required columns have NULLs: {wrong}")
+            if unique and spec.keys:
+                rows.require_unique(back, spec.keys, spec.name)
+        except Exception:
+            self.discard(out)
+            raise
+        return Staged(now, out.files, n, lo, hi)
+
+    def discard(self, staged: Staged) -> None:
+        for p, _ in staged.files:
+            self.files.delete(f"{self.home(staged.spec.name)}/{p}")
 
     def append(self, spec: TableSpec, df: DataFrame) -> Version:
+        staged = self.stage(spec, df, unique=False)
         v, now = self._current(spec)
-        out = rows.align(df, now.schema)
-        self.require_values(out, now)
-        return self.commit(spec.name, v, now.schema, now.partition, [*v.files, *self._put(now, out)])
+        return self.commit(spec.name, v, now.schema, now.partition, [*v.files, *staged.files], staged.rows)
+
+    @staticmethod
+    def date_column(spec: TableSpec) -> str:
+        return spec.partition[0] if spec.partition else next(f.name for f in spec.schema if f.dataType.simpleString() == "date")
 
     def replace_window(self, spec: TableSpec, df: DataFrame, window: Window | None, column: str | None = None) -> Version | None:
         """The rows of df take the place of the table's rows in the window (None: from the first to the last day of df).
         No rows replace nothing. Keys must be unique and required columns filled, or nothing is written. Only partitions that
-        the window or the new rows touch are rewritten."""
-        column = column or (spec.partition[0] if spec.partition else next(f.name for f in spec.schema if f.dataType.simpleString() == "date"))
-        lo, hi = df.agg(F.min(column), F.max(column)).first()
-        if lo is None and df.isEmpty():
+        the window or the new rows touch are rewritten. The version's ``rows`` are those of df, counted in the files."""
+        column = column or self.date_column(spec)
+        return self.put_in_place(spec, self.stage(spec, df, column), window, column)
+
+    def put_in_place(self, spec: TableSpec, staged: Staged, window: Window | None, column: str) -> Version | None:
+        """Commits staged rows in place of the window's."""
+        if not staged.rows:
             return None
-        if spec.keys:
-            rows.require_unique(df, spec.keys, spec.name)
-        v, now = self._current(spec)
-        new = rows.align(df, now.schema)
-        self.require_values(new, now)
         if window is None:
-            if lo is None:
+            if staged.lo is None:
+                self.discard(staged)
                 raise ValueError(f"{spec.name}: no row has a {column}, so there is no window")
-            window = Window.days(lo, hi)
-        inside = window if lo is None else Window.days(min(lo, window.lo), max(hi, window.last))
+            window = Window.days(staged.lo, staged.hi)
+        v, now = self._current(spec)
+        inside = window if staged.lo is None else Window.days(min(staged.lo, window.lo), max(staged.hi, window.last))
         touched = [f for f in v.files if now.overlaps(f[1], inside)]
-        kept = [f for f in v.files if f not in set(touched)]
+        gone = set(touched)
+        kept = [f for f in v.files if f not in gone]
         if touched:
-            home = self.home(spec.name)
-            old = self.spark.read.schema(StructType([replace_nullable(f) for f in now.schema])).parquet(*[f"{home}/{p}" for p, _ in touched])
-            new = old.filter(~F.coalesce(window.holds(F.col(column)), F.lit(False))).unionByName(new)
-        return self.commit(spec.name, v, now.schema, now.partition, [*kept, *self._put(now, new)])
+            kept += self._put(now, self._frame(spec.name, now.schema, touched).filter(~F.coalesce(window.holds(F.col(column)), F.lit(False))))
+        return self.commit(spec.name, v, now.schema, now.partition, [*kept, *staged.files], staged.rows)
 
     # -- upkeep --
 
@@ -344,14 +383,15 @@ class Lake:
                 self.files.delete(f"{self.home(name)}/versions/v{n:08d}.json")
         return old
 
-    def orphans(self, name: str) -> list[str]:
-        """Data files that no surviving version names."""
+    def orphans(self, name: str, older_than: dt.timedelta = ORPHAN_AGE) -> list[str]:
+        """Data files of that age that no surviving version names. Younger ones may be a running writer's, not yet committed."""
+        before = (dt.datetime.now(dt.UTC) - older_than).timestamp() * 1000
+        listed = [p[p.index("/data/") + 1 :] for p in self.files.list(f"{self.home(name)}/data", before) if p.endswith(".parquet")]
         used = {p for n in self.numbers(name) for p, _ in self.version(name, n).files}
-        listed = [p[p.index("/data/") + 1 :] for p in self.files.list(f"{self.home(name)}/data") if p.endswith(".parquet")]
         return [p for p in listed if p not in used]
 
-    def delete_orphans(self, name: str, batch: int = 1000) -> int:
-        found = self.orphans(name)
+    def delete_orphans(self, name: str, batch: int = 1000, older_than: dt.timedelta = ORPHAN_AGE) -> int:
+        found = self.orphans(name, older_than)
         for at in range(0, len(found), batch):
             for p in found[at : at + batch]:
                 self.files.delete(f"{self.home(name)}/{p}")
@@ -386,7 +426,13 @@ def replace_nullable(f: StructField) -> StructField:
 
 
 def validate_then_write(lake: Lake, jobs: Sequence[tuple[TableSpec, DataFrame, Window | None]]) -> list[Version | None]:
-    """Keys of all are checked before any is written."""
-    for spec, df, _ in jobs:
-        rows.require_unique(df, spec.keys, spec.name)
-    return [lake.replace_window(spec, df, window) for spec, df, window in jobs]
+    """All are written aside and checked before any is committed; each is read once."""
+    staged: list[Staged] = []
+    try:
+        for spec, df, _ in jobs:
+            staged.append(lake.stage(spec, df, lake.date_column(spec)))
+    except Exception:
+        for x in staged:
+            lake.discard(x)
+        raise
+    return [lake.put_in_place(spec, x, window, lake.date_column(spec)) for (spec, _, window), x in zip(jobs, staged, strict=True)]

@@ -39,7 +39,7 @@ def verdict(counts: Counts) -> tuple[str, str]:
     """Nothing staged, nothing due or another number of rows than due is a failure."""
     if not counts.staged:
         return FAILED, "no rows were staged"
-    for table, n in counts.due.items():
+    for table, n in (counts.due | counts.long_due).items():
         if not n:
             return FAILED, f"{table}: no rows were due"
         if counts.written.get(table) != n:

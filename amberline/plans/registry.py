@@ -45,12 +45,12 @@ def scan_project_filter(spark, d):
 
 @query("""
 WITH t AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey,
-  CASE l_orderkey % 5 WHEN 0 THEN format('{:,}', CAST(l_extendedprice * 100 AS BIGINT)) WHEN 1 THEN CAST(l_quantity AS BIGINT)::VARCHAR || '.5' WHEN 2 THEN '' WHEN 3 THEN 'abc' ELSE '1e3' END AS s FROM lineitem)
+  CASE l_orderkey % 7 WHEN 5 THEN '0.4999999' WHEN 6 THEN '-0.49999999999' WHEN 0 THEN format('{:,}', CAST(l_extendedprice * 100 AS BIGINT)) WHEN 1 THEN CAST(l_quantity AS BIGINT)::VARCHAR || '.5' WHEN 2 THEN '' WHEN 3 THEN 'abc' ELSE '1e3' END AS s FROM lineitem)
 SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, TRY_CAST(replace(s, ',', '') AS BIGINT) AS as_long, TRY_CAST(replace(s, ',', '') AS DECIMAL(32,3)) AS as_price,
   round(TRY_CAST(replace(s, ',', '') AS DOUBLE), 6) AS as_double FROM t""")
 def try_cast_numeric(spark, d):
-    k = F.col("l_orderkey") % 5
-    s = F.when(k == 0, F.format_number((F.col("l_extendedprice") * 100).cast("decimal(20,0)"), 0)).when(k == 1, F.concat(F.col("l_quantity").cast("bigint").cast("string"), F.lit(".5"))).when(k == 2, "").when(k == 3, "abc").otherwise("1e3")
+    k = F.col("l_orderkey") % 7
+    s = F.when(k == 5, "0.4999999").when(k == 6, "-0.49999999999").when(k == 0, F.format_number((F.col("l_extendedprice") * 100).cast("decimal(20,0)"), 0)).when(k == 1, F.concat(F.col("l_quantity").cast("bigint").cast("string"), F.lit(".5"))).when(k == 2, "").when(k == 3, "abc").otherwise("1e3")
     t = load(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", casts.no_thousands(s).alias("s"))
     return t.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", casts.to_long(F.col("s")).alias("as_long"), casts.to_price(F.col("s")).alias("as_price"), F.round(casts.to_double(F.col("s")), 6).alias("as_double"))
 
@@ -462,7 +462,11 @@ def replace_window_result(spark, d):
 
     from amberline.operators.tables import Lake, TableSpec
 
-    shared = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="amberline-")
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        shared = "file://" + tempfile.mkdtemp(prefix="amberline-")
     lake = Lake(spark, f"{shared.rstrip('/')}/replace-{uuid.uuid4().hex}")
     spec = TableSpec.of("silver.area", "delivery_date date required key, time_code int required key, area_name string required key, area_price decimal", partition=("delivery_date", "month"))
     a = at.area(spark, d).select("delivery_date", "time_code", "area_name", "area_price")

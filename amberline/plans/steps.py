@@ -23,12 +23,14 @@ log = logging.getLogger(__name__)
 
 @dataclass
 class Counts:
-    """Rows staged and dropped, and of each table the rows due and written."""
+    """Rows staged and dropped, and of each table the rows due and written. long_due: of tables that have several rows for a
+    staged one; a verdict looks at them, the run log does not count them."""
 
     staged: int = 0
     dropped: int = 0
     due: dict[str, int] = field(default_factory=dict)
     written: dict[str, int] = field(default_factory=dict)
+    long_due: dict[str, int] = field(default_factory=dict)
     notes: list[str] = field(default_factory=list)
 
     @property
@@ -91,7 +93,10 @@ class Workspace:
         window = Window.fiscal(fiscal_year) if fiscal_year is not None else None
         staged = silver.stage_spot(self.lake.read(declared.SPOT), window).cache()
         try:
-            return self._write(staged, [(declared.SPOT_BASE, silver.spot_base(staged)), (declared.SPOT_BLOCK, silver.spot_block(staged)), (declared.SPOT_AREA, silver.spot_area(staged))], window, execution_id)
+            out = self._write(staged, [(declared.SPOT_BASE, silver.spot_base(staged)), (declared.SPOT_BLOCK, silver.spot_block(staged)), (declared.SPOT_AREA, silver.spot_area(staged))], window, execution_id)
+            del out.due[declared.SPOT_AREA.name]
+            out.long_due[declared.SPOT_AREA.name] = rows.valid(staged).agg(sum((F.count(c) for c in silver.AREA_PRICES), F.lit(0))).first()[0]
+            return out
         finally:
             staged.unpersist()
 
@@ -115,26 +120,32 @@ class Workspace:
             (declared.USED_HOURLY, silver.usage_hourly(read(declared.USAGE_HOURLY), window)),
             (declared.USED_FIVE, silver.usage_five_minutes(read(declared.USAGE_FIVE), window)),
         ]
-        return self._write(None, made, window, execution_id)
+        days = silver.latest_report(read(declared.USAGE_SUMMARY), window).filter("_day IS NOT NULL").count()
+        due = {declared.USED_SUMMARY.name: days, declared.USED_HOURLY.name: days * 24, declared.USED_FIVE.name: days * 288}
+        return self._write(None, made, window, execution_id, due)
 
     def silver_demand(self, company: str, lo: dt.date | None = None, hi: dt.date | None = None, execution_id: str | None = None) -> Counts:
         window = Window.days(lo, hi) if lo else None
-        return self._write(None, [(declared.DEMANDED[company], silver.supply_demand(self.lake.read(declared.DEMANDS[company]), company, window))], window, execution_id)
+        spec, made = declared.DEMANDED[company], silver.supply_demand(self.lake.read(declared.DEMANDS[company]), company, window)
+        return self._write(None, [(spec, made)], window, execution_id, {spec.name: made.count()})
 
-    def _write(self, staged: DataFrame | None, made: list[tuple[TableSpec, DataFrame]], window: Window | None, execution_id: str | None) -> Counts:
-        out = Counts()
+    def _write(self, staged: DataFrame | None, made: list[tuple[TableSpec, DataFrame]], window: Window | None, execution_id: str | None, due: dict[str, int] | None = None) -> Counts:
+        """due: of each table, where it is not every valid staged row. What was written is counted in the committed files."""
+        out = Counts(due=dict(due or {}))
         if staged is not None:
             out.staged, out.dropped = staged.agg(F.count(F.lit(1)), rows.dropped()).first()
+            out.due = {spec.name: out.valid for spec, _ in made}
             if out.dropped:
                 out.notes += [f"{r['violation']}: {r['rows']}" for r in rows.violation_summary(staged).collect()]
-        for spec, df in made:
-            out.written[spec.name] = df.count()
-        if staged is None:
-            out.staged = max(out.written.values(), default=0)
-        out.due = {n: out.valid for n in out.written if n not in (declared.SPOT_AREA.name,)}
-        validate_then_write(self.lake, [(spec, stamp(df, "loaded", execution_id), window) for spec, df in made])
+        else:
+            out.staged = max(out.due.values(), default=0)
+        out.written = self._commit([(spec, stamp(df, "loaded", execution_id), window) for spec, df in made])
         return out
 
+    def _commit(self, jobs: list[tuple[TableSpec, DataFrame, Window | None]]) -> dict[str, int]:
+        versions = validate_then_write(self.lake, jobs)
+        return {spec.name: v.rows if v else 0 for (spec, _, _), v in zip(jobs, versions, strict=True)}
+
     # -- gold --
 
     def gold_spot(self, fiscal_year: int | None = None, execution_id: str | None = None) -> Counts:
@@ -150,10 +161,10 @@ class Workspace:
             profile = gold.period_profile(prices, holiday_table(self.spark, *found))
             months = Window.days(found[0].replace(day=1), found[1]) if window is None else window
             made = [(declared.GOLD_DAILY, daily, span), (declared.GOLD_PROFILE, profile, months), (declared.GOLD_SPREAD, gold.area_spread(prices), span)]
-            out = Counts(staged=daily.count(), written={s.name: df.count() for s, df, _ in made})
-            out.due = dict(out.written)
+            out = Counts(due={s.name: df.count() for s, df, _ in made})
+            out.staged = out.due[declared.GOLD_DAILY.name]
             out.notes = [f"{r['delivery_date']} {r['area_name']}: {r['time_code_count']} slots" for r in gold.incomplete_days(daily).collect()]
-            validate_then_write(self.lake, [(s, stamp(df, "loaded", execution_id, "silver.jepx_spot_price_area+silver.jepx_spot_price_base"), w) for s, df, w in made])
+            out.written = self._commit([(s, stamp(df, "loaded", execution_id, "silver.jepx_spot_price_area+silver.jepx_spot_price_base"), w) for s, df, w in made])
             return out
         finally:
             prices.unpersist()

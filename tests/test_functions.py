@@ -93,3 +93,9 @@ def test_sums_before_ratios(spark):
 def test_nearest_quantile(spark):
     df = spark.createDataFrame([(float(i),) for i in range(101)], "v double")
     assert df.agg(stats.nearest_quantile(F.col("v"), 0.99)).first()[0] == 99.0
+
+
+def test_texts_round_once(spark):
+    texts = ["0.4999999", "-0.4999999", "0.5", "-0.5", "1e3", "12.5e-1", "9223372036854775807", "9223372036854775808", "1e40", "", "x", None, "7"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select(casts.to_long(F.col("t")))
+    assert [r[0] for r in df.collect()] == [0, 0, 1, -1, 1000, 1, 9223372036854775807, None, None, None, None, None, 7]

@@ -84,7 +84,9 @@ def test_usage_and_demand(w, site):
     w.scrape("power_usage_hokuriku", DAY)
     assert w.land("power_usage_hokuriku", w.resolve("power_usage_hokuriku", DAY), DAY) == 3
     assert w.land("power_usage_hokuriku", w.resolve("power_usage_hokuriku", DAY), DAY) == 0  # it was done
-    w.silver_usage(DAY)
+    counts = w.silver_usage(DAY)
+    assert [counts.due[t.name] for t in (declared.USED_SUMMARY, declared.USED_HOURLY, declared.USED_FIVE)] == [1, 24, 288]
+    assert counts.written == counts.due and verdict(counts)[0] == SUCCESS
     assert w.lake.read(declared.USED_FIVE).count() == 288 and w.lake.read(declared.USED_SUMMARY).count() == 1
     (site / "juyo_shikoku_2026.csv").write_bytes("2026/8/15 UPDATE\n\nDATE,TIME,当日実績(万kW),供給力想定値(万kW)\n2026/8/14,0:00,300,400\n2026/08/14,23:00,310,410\n2026/8/15,0:00,1,2\n".encode("cp932"))
     w.scrape("supply_demand_actuals_shikoku", DAY)

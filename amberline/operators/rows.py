@@ -84,3 +84,10 @@ def align(df: DataFrame, schema: StructType) -> DataFrame:
 def pivot_wide(df: DataFrame, index: str, column: str, values: Sequence, value: str) -> DataFrame:
     """Explicit values: no pass to find them."""
     return df.groupBy(index).pivot(column, list(values)).agg(F.first(value))
+
+
+def sample(df: DataFrame, keys: Sequence[str], n: int, seed: int = 0) -> DataFrame:
+    """n rows (all, if there are fewer), the same for a seed however the table is partitioned: those whose keys hash lowest.
+    Each task keeps n rows at most. NULL keys are empty texts."""
+    text = F.concat_ws(":", F.lit(str(seed)), *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys])
+    return df.orderBy(F.md5(text), *keys).limit(n)

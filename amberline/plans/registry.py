@@ -457,17 +457,10 @@ def mark_processed(spark, d):
 FROM area WHERE NOT (delivery_date BETWEEN DATE '2024-01-10' AND DATE '2024-01-15' AND area_name = 'error')""")
 def replace_window_result(spark, d):
     """A table is written, days in its middle are replaced by other rows, and the table is read again."""
-    import tempfile
-    import uuid
-
     from amberline.operators.tables import Lake, TableSpec
+    from amberline.plans.market import own_folder
 
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        shared = "file://" + tempfile.mkdtemp(prefix="amberline-")
-    lake = Lake(spark, f"{shared.rstrip('/')}/replace-{uuid.uuid4().hex}")
+    lake = Lake(spark, own_folder(spark, "replace"))
     spec = TableSpec.of("silver.area", "delivery_date date required key, time_code int required key, area_name string required key, area_price decimal", partition=("delivery_date", "month"))
     a = at.area(spark, d).select("delivery_date", "time_code", "area_name", "area_price")
     lake.replace_window(spec, a, None)
@@ -486,3 +479,6 @@ def run_log_rollup(spark, d):
 def orphan_anti_join(spark, d):
     used = load(spark, d, "lineitem").filter("l_quantity > 49").select(F.col("l_partkey").alias("p_partkey"))
     return load(spark, d, "part").select("p_partkey").join(used, "p_partkey", "left_anti")
+
+
+from amberline.plans import market  # noqa: E402,F401  the market pipelines register themselves

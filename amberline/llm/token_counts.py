@@ -1,9 +1,10 @@
 """Token counts without token ids.
 
-Each task turns its documents into pre-token frequencies, has the library count the pieces of every distinct pre-token
-it has not met before - once - and joins the two: a document's tokens are the sum of frequency times pieces. No list of
-ids is ever made. The join is inside the task, on the task's own dictionary of distinct pre-tokens: a shuffled join
-would move every (document, pre-token) pair, more bytes than the texts themselves.
+Documents are taken in blocks. A block's distinct pre-tokens are rows of one table, its documents' frequencies of them one
+more row; the pieces of every distinct pre-token of the whole table are counted once by the library; the counts are joined
+to the blocks' pre-tokens, and meet the frequencies block by block, where they are multiplied and summed. No list of ids is
+ever made. A pre-token moves once for each block that has it and a pair of document and pre-token about two bytes, packed,
+where a row for each pair would be more bytes than the texts. The hottest pre-token has one row a block.
 
 A special token's string inside a text is one token, as the library does it by default. Nulls count as empty texts and
 have 0 tokens. Only the key and the text are read, so other columns do not matter; repeated rows give repeated results.
@@ -11,27 +12,34 @@ have 0 tokens. Only the key and the text are read, so other columns do not matte
 
 from __future__ import annotations
 
+import gc
+import hashlib
 import json
 import re
-from collections import Counter
-from functools import lru_cache
-from operator import mul
+from collections import Counter, defaultdict
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 import regex
+import zstandard
+from pyspark import TaskContext
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 from tokenizers import Tokenizer
 
-from amberline.llm.byte_pairs import LONG
-from amberline.llm.common import map_rows, table, text_or_empty
+from amberline.llm.common import Stage, map_rows, table, text_or_empty
 
-#: Most distinct pre-tokens whose counts one worker keeps.
-KEEP = 300_000
-#: Pre-tokens go to the library in lists of so many.
-AT_ONCE = 20_000
+#: A block ends with the document that brings it to so many characters, or to so many documents.
+BLOCK_CHARS, BLOCK_ROWS = 32 << 20, 1 << 16
+#: Pre-tokens go to the library in lists of so many, or of so many bytes.
+AT_ONCE, AT_ONCE_BYTES = 20_000, 4 << 20
 
 
-class PieceCounter:
+class PreTokens:
     """definition: the text of a tokenizers .json with a byte-level pre-tokenizer and no normalizer."""
 
     def __init__(self, definition: str, pattern: str):
@@ -41,7 +49,7 @@ class PieceCounter:
             raise ValueError("only a plain byte-level pre-tokenizer splits texts as the pattern does")
         special = sorted((x["content"] for x in parsed["added_tokens"]), key=len, reverse=True)
         self.special = re.compile("|".join(map(re.escape, special))) if special else None
-        self.library, self.split, self.pieces = Tokenizer.from_str(definition), regex.compile(pattern).findall, {}
+        self.split = regex.compile(pattern).findall
 
     def frequencies(self, text: str) -> tuple[Counter, int]:
         """Of pre-tokens; and how many special tokens stand between them."""
@@ -52,47 +60,125 @@ class PieceCounter:
             found.update(self.split(part))
         return found, len(parts) - 1
 
-    def count(self, texts: list[str]) -> list[int]:
-        documents = [self.frequencies(t) for t in texts]
-        if len(self.pieces) > KEEP:
-            self.pieces.clear()
-        known = self.pieces
-        new = list({p for f, _ in documents for p in f if p not in known})
-        long = [p for p in new if len(p) > LONG]  # not kept beyond these texts
-        for at in range(0, len(new), AT_ONCE):
-            some = new[at : at + AT_ONCE]
-            known.update(zip(some, map(len, self.library.encode_batch_fast(some, add_special_tokens=False)), strict=True))
-        out = [sum(map(mul, f.values(), map(known.__getitem__, f))) + n for f, n in documents]
-        for p in long:
-            del known[p]
-        return out
 
-
-@lru_cache(maxsize=2)
-def counter(definition: str, pattern: str) -> PieceCounter:
-    return PieceCounter(definition, pattern)
-
-
-def count_tokens(df: DataFrame, tokenizer_file: str, pattern: str, limit: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, n_bytes, n_tokens, over_limit (more than ``limit`` tokens). The definition, a fixed file of some MB, is broadcast."""
-    spark = df.sparkSession
-    with open(tokenizer_file, encoding="utf-8") as f:
-        shared = spark.sparkContext.broadcast(f.read())
+def pack(numbers: np.ndarray) -> bytes:
+    """32-bit numbers by planes of bytes: the high ones are nearly all zero."""
+    return zstandard.compress(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+
+
+def unpack(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
+
+
+class Block:
+    """Documents' ids, sizes and frequencies of pre-tokens, which have the places of their first appearance."""
+
+    def __init__(self) -> None:
+        self.ids, self.sizes, self.specials, self.lengths, self.at, self.times, self.chars = [], [], [], [], [], [], 0
+        self.place: defaultdict[str, int] = defaultdict()
+        self.place.default_factory = self.place.__len__
+
+    def add(self, key, text: str, found: Counter, specials: int) -> None:
+        self.ids.append(key)
+        self.sizes.append(len(text.encode("utf-8")))
+        self.specials.append(specials)
+        self.lengths.append(len(found))
+        self.at.append(np.fromiter(map(self.place.__getitem__, found), np.uint32, len(found)))
+        self.times.append(np.fromiter(found.values(), np.uint32, len(found)))
+        self.chars += len(text)
+
+    def full(self) -> bool:
+        return self.chars >= BLOCK_CHARS or len(self.ids) >= BLOCK_ROWS
+
+    def rows(self, number: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+        """Its pre-tokens, then itself. Pre-tokens of 32 bytes and more go by their digest, which shorter ones cannot be."""
+        names, n = list(self.place), len(schema)
+        for begin in range(0, len(names), AT_ONCE):
+            some = names[begin : begin + AT_ONCE]
+            raw = [p.encode("utf-8") for p in some]
+            keys = [b if len(b) < 32 else hashlib.sha256(b).digest() for b in raw]
+            long = [p if len(b) >= 32 else None for p, b in zip(some, raw, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip([[number] * len(some), range(begin, begin + len(some)), keys, long, *[[None] * len(some)] * (n - 4)], schema, strict=True)], schema=schema)
+        empty = [np.zeros(0, np.uint32)]
+        packed = [pack(np.concatenate(x or empty)) for x in (self.at, self.times)]
+        whole = [number, None, None, None, self.ids, self.sizes, self.specials, self.lengths, *packed]
+        yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(whole, schema, strict=True)], schema=schema)
+
+
+def blocks(df: DataFrame, definition: Broadcast, pattern: str) -> DataFrame:
+    """df: k and t. Rows of (block, at, key, long) for pre-tokens, and of block and the rest for blocks."""
+    kind = df.schema["k"].dataType.simpleString()
+    ddl = f"block bigint, at int, key binary, long string, ids array<{kind}>, sizes array<bigint>, specials array<int>, lengths array<int>, places binary, times binary"
+    arrow = to_arrow_schema(StructType.fromDDL(ddl))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gc.set_threshold(1_000_000, 20, 20)
+        split, number, block = PreTokens(definition.value, pattern), TaskContext.get().partitionId() << 32, Block()
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                some = batch.slice(at, 512).to_pydict()
+                for k, t in zip(some["k"], some["t"], strict=True):
+                    block.add(k, t, *split.frequencies(t))
+                    if block.full():
+                        yield from block.rows(number, arrow)
+                        number, block = number + 1, Block()
+        if block.ids:
+            yield from block.rows(number, arrow)
+
+    return df.mapInArrow(work, ddl)
+
+
+def count_pieces(distinct: DataFrame, definition: Broadcast) -> DataFrame:
+    """distinct: key and, of long ones, the pre-token. key and its number of pieces."""
 
     def make():
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task's core is its share
-        c = counter(shared.value, pattern)
+        library = Tokenizer.from_str(definition.value)
 
         def work(rows: dict[str, list]) -> dict[str, list]:
-            n = c.count(rows["t"])
-            return {"k": rows["k"], "n_bytes": [len(t.encode("utf-8")) for t in rows["t"]], "n_tokens": n, "over_limit": [x > limit for x in n]}
+            texts, out, begin, size = [bytes(k).decode("utf-8") if p is None else p for k, p in zip(rows["key"], rows["long"], strict=True)], [], 0, 0
+            for i, t in enumerate(texts, 1):
+                size += len(t)
+                if size >= AT_ONCE_BYTES or i == len(texts):
+                    out += map(len, library.encode_batch_fast(texts[begin:i], add_special_tokens=False))
+                    begin, size = i, 0
+            return {"key": rows["key"], "n": out}
 
         return work
 
-    kind = df.schema[key].dataType.simpleString()
-    return map_rows(df.select(F.col(key).alias("k"), text_or_empty(text).alias("t")), make, f"k {kind}, n_bytes bigint, n_tokens bigint, over_limit boolean", rows=512).withColumnRenamed("k", key)
+    return map_rows(distinct, make, "key binary, n bigint", rows=AT_ONCE)
+
+
+def count_tokens(df: DataFrame, tokenizer_file: str, pattern: str, limit: int, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, n_bytes, n_tokens, over_limit (more than ``limit`` tokens). The definition, a fixed file of some MB, is broadcast.
+    The blocks and the counts are tables in the shared folder, so that a lost executor takes neither with it."""
+    spark = df.sparkSession
+    with open(tokenizer_file, encoding="utf-8") as f:
+        shared = spark.sparkContext.broadcast(f.read())
+    stage = Stage(spark, "token-counts")
+    made = stage.write(blocks(df.select(F.col(key).alias("k"), text_or_empty(text).alias("t")), shared, pattern))
+    pieces = made.filter("key IS NOT NULL")
+    counts = stage.write(count_pieces(pieces.select("key", "long").distinct(), shared))
+    counted = pieces.select(F.col("block").alias("of_block"), "at", "key").join(counts, "key").select("of_block", "at", "n")
+    whole = made.filter("key IS NULL").select("block", "ids", "sizes", "specials", "lengths", "places", "times")
+    ddl = f"k {df.schema[key].dataType.simpleString()}, n_bytes bigint, n_tokens bigint, over_limit boolean"
+    arrow = to_arrow_schema(StructType.fromDDL(ddl))
+
+    def total(block: pa.Table, found: pa.Table) -> pa.Table:
+        row = {c: block.column(c)[0] for c in block.column_names}
+        of_place = np.zeros(found.num_rows, np.int64)
+        of_place[found.column("at").to_numpy()] = found.column("n").to_numpy()
+        lengths = row["lengths"].values.to_numpy(zero_copy_only=False)
+        products = of_place[unpack(row["places"].as_py())] * unpack(row["times"].as_py())
+        ends = np.cumsum(lengths)
+        sums = np.concatenate([[0], np.cumsum(products)])
+        n = sums[ends] - sums[ends - lengths] + row["specials"].values.to_numpy(zero_copy_only=False)
+        return pa.Table.from_arrays([row["ids"].values, row["sizes"].values, pa.array(n, pa.int64()), pa.array(n > limit)], schema=arrow)
+
+    return whole.groupBy("block").cogroup(counted.groupBy("of_block")).applyInArrow(total, ddl).withColumnRenamed("k", key)
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

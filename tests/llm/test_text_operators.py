@@ -333,6 +333,20 @@ def test_token_counts_are_the_librarys(spark):
         assert (r.n_tokens, r.over_limit, r.n_bytes) == (n, n > 512, len(text.encode()))
 
 
+def test_token_counts_do_not_depend_on_blocks(spark):
+    texts = ODD + [prose(i) for i in range(40)] + ["x" * 40 + " " + "x" * 40, "x" * 31, "é" * 16]
+    t = Tokenizer.from_file(DEFINITION)
+    due = [len(t.encode(x or "", add_special_tokens=False)) for x in texts]
+    split, made = token_counts.PreTokens(open(DEFINITION).read(), P.PATTERN), token_counts.Block()
+    for i, x in enumerate(texts):
+        made.add(i, x or "", *split.frequencies(x or ""))
+    assert [int(n) for n in token_counts.unpack(token_counts.pack(np.array([0, 255, 256, 1 << 31, 7])))] == [0, 255, 256, 1 << 31, 7]
+    assert len(token_counts.unpack(token_counts.pack(np.zeros(0)))) == 0 and list(made.place.values()) == list(range(len(made.place)))
+    for parts in (1, 7):
+        got = token_counts.count_tokens(frame(spark, texts + texts).repartition(parts), DEFINITION, P.PATTERN, 512).collect()
+        assert sorted((r.doc_id, r.n_tokens) for r in got) == [(i, due[i % len(due)]) for i in range(2 * len(due))]
+
+
 def test_memory_keeps_to_its_size(library):
     kept = byte_pairs.Pieces(lambda x: x * 2, 10)
     assert [kept[i % 30] for i in range(100)] == [i % 30 * 2 for i in range(100)] and len(kept) + len(kept.old) <= 10

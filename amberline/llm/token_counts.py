@@ -1,9 +1,9 @@
 """Token counts without token ids.
 
 Documents are taken in blocks. A block's distinct pre-tokens are rows of one table, its documents' frequencies of them one
-more row; the pieces of every distinct pre-token of the whole table are counted once by the library; the counts are joined
-to the blocks' pre-tokens, and meet the frequencies block by block, where they are multiplied and summed. No list of ids is
-ever made. A pre-token moves once for each block that has it and a pair of document and pre-token about two bytes, packed,
+more row. The pre-tokens of all blocks are sorted, so that equal ones are neighbours: the library counts the pieces of every
+distinct one once, and its rows take the count in the same pass, a merge join. The counts meet the frequencies block by block,
+where they are multiplied and summed. No list of ids is ever made. A pre-token moves once for each block that has it and a pair of document and pre-token about two bytes, packed,
 where a row for each pair would be more bytes than the texts. The hottest pre-token has one row a block.
 
 A special token's string inside a text is one token, as the library does it by default. Nulls count as empty texts and
@@ -35,8 +35,10 @@ from amberline.llm.common import Stage, map_rows, table, text_or_empty
 
 #: A block ends with the document that brings it to so many characters, or to so many documents.
 BLOCK_CHARS, BLOCK_ROWS = 32 << 20, 1 << 16
-#: Pre-tokens go to the library in lists of so many, or of so many bytes.
-AT_ONCE, AT_ONCE_BYTES = 20_000, 4 << 20
+#: Pre-tokens are written in batches of so many and go to the library in lists of so many characters.
+AT_ONCE, AT_ONCE_CHARS = 20_000, 4 << 20
+#: Counted rows are packed by block when there are so many.
+HELD = 1 << 20
 
 
 class PreTokens:
@@ -88,8 +90,8 @@ class Block:
         self.times.append(np.fromiter(found.values(), np.uint32, len(found)))
         self.chars += len(text)
 
-    def full(self) -> bool:
-        return self.chars >= BLOCK_CHARS or len(self.ids) >= BLOCK_ROWS
+    def full(self, rows: int) -> bool:
+        return self.chars >= BLOCK_CHARS or len(self.ids) >= rows
 
     def rows(self, number: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
         """Its pre-tokens, then itself. Pre-tokens of 32 bytes and more go by their digest, which shorter ones cannot be."""
@@ -106,7 +108,7 @@ class Block:
         yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(whole, schema, strict=True)], schema=schema)
 
 
-def blocks(df: DataFrame, definition: Broadcast, pattern: str) -> DataFrame:
+def blocks(df: DataFrame, definition: Broadcast, pattern: str, rows: int = BLOCK_ROWS) -> DataFrame:
     """df: k and t. Rows of (block, at, key, long) for pre-tokens, and of block and the rest for blocks."""
     kind = df.schema["k"].dataType.simpleString()
     ddl = f"block bigint, at int, key binary, long string, ids array<{kind}>, sizes array<bigint>, specials array<int>, lengths array<int>, places binary, times binary"
@@ -120,7 +122,7 @@ def blocks(df: DataFrame, definition: Broadcast, pattern: str) -> DataFrame:
                 some = batch.slice(at, 512).to_pydict()
                 for k, t in zip(some["k"], some["t"], strict=True):
                     block.add(k, t, *split.frequencies(t))
-                    if block.full():
+                    if block.full(rows):
                         yield from block.rows(number, arrow)
                         number, block = number + 1, Block()
         if block.ids:
@@ -129,48 +131,66 @@ def blocks(df: DataFrame, definition: Broadcast, pattern: str) -> DataFrame:
     return df.mapInArrow(work, ddl)
 
 
-def count_pieces(distinct: DataFrame, definition: Broadcast) -> DataFrame:
-    """distinct: key and, of long ones, the pre-token. key and its number of pieces."""
+def count_pieces(pieces: DataFrame, definition: Broadcast, at_most: int = HELD) -> DataFrame:
+    """pieces: block, at, key and, of long ones, the pre-token, with equal keys side by side in one partition. Every key is
+    counted once. Rows of of_block with packed places and numbers of pieces, several for a block."""
+    ddl = "of_block bigint, ats binary, ns binary"
+    arrow = to_arrow_schema(StructType.fromDDL(ddl))
+
+    def by_block(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        block, at, n = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.lexsort((at, block))
+        names, begins = np.unique(block[order], return_index=True)
+        parts = [[pack(x) for x in np.split(c[order], begins[1:])] for c in (at, n)]
+        return pa.RecordBatch.from_arrays([pa.array(names), *[pa.array(x, pa.binary()) for x in parts]], schema=arrow)
 
-    def make():
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task's core is its share
-        library = Tokenizer.from_str(definition.value)
-
-        def work(rows: dict[str, list]) -> dict[str, list]:
-            texts, out, begin, size = [bytes(k).decode("utf-8") if p is None else p for k, p in zip(rows["key"], rows["long"], strict=True)], [], 0, 0
-            for i, t in enumerate(texts, 1):
-                size += len(t)
-                if size >= AT_ONCE_BYTES or i == len(texts):
-                    out += map(len, library.encode_batch_fast(texts[begin:i], add_special_tokens=False))
-                    begin, size = i, 0
-            return {"key": rows["key"], "n": out}
-
-        return work
-
-    return map_rows(distinct, make, "key binary, n bigint", rows=AT_ONCE)
-
-
-def count_tokens(df: DataFrame, tokenizer_file: str, pattern: str, limit: int, key: str = "doc_id", text: str = "text") -> DataFrame:
+        library, last, n, held, rows = Tokenizer.from_str(definition.value), None, 0, [], 0
+        for batch in batches:
+            keys, long = batch.column("key").to_pylist(), batch.column("long")
+            first = [i for i, k in enumerate(keys) if k != (keys[i - 1] if i else last)]
+            counts, some, size = [n], [], 0
+            for i in first:
+                some.append(long[i].as_py() if long[i].is_valid else keys[i].decode("utf-8"))
+                size += len(some[-1])
+                if size >= AT_ONCE_CHARS:
+                    counts += map(len, library.encode_batch_fast(some, add_special_tokens=False))
+                    some, size = [], 0
+            counts += map(len, library.encode_batch_fast(some, add_special_tokens=False))
+            of_row = np.repeat(counts, np.diff([0, *first, len(keys)]))
+            held.append((batch.column("block").to_numpy(), batch.column("at").to_numpy(), of_row))
+            last, n, rows = keys[-1] if keys else last, counts[-1], rows + len(keys)
+            if rows >= at_most:
+                yield by_block(held)
+                held, rows = [], 0
+        if rows:
+            yield by_block(held)
+
+    return pieces.mapInArrow(work, ddl)
+
+
+def count_tokens(df: DataFrame, tokenizer_file: str, pattern: str, limit: int, key: str = "doc_id", text: str = "text", block_rows: int = BLOCK_ROWS, held: int = HELD) -> DataFrame:
     """key, n_bytes, n_tokens, over_limit (more than ``limit`` tokens). The definition, a fixed file of some MB, is broadcast.
-    The blocks and the counts are tables in the shared folder, so that a lost executor takes neither with it."""
+    The blocks are a table in the shared folder, so that a lost executor does not take them with it."""
     spark = df.sparkSession
     with open(tokenizer_file, encoding="utf-8") as f:
         shared = spark.sparkContext.broadcast(f.read())
     stage = Stage(spark, "token-counts")
-    made = stage.write(blocks(df.select(F.col(key).alias("k"), text_or_empty(text).alias("t")), shared, pattern))
-    pieces = made.filter("key IS NOT NULL")
-    counts = stage.write(count_pieces(pieces.select("key", "long").distinct(), shared))
-    counted = pieces.select(F.col("block").alias("of_block"), "at", "key").join(counts, "key").select("of_block", "at", "n")
+    made = stage.write(blocks(df.select(F.col(key).alias("k"), text_or_empty(text).alias("t")), shared, pattern, block_rows))
+    pieces = made.filter("key IS NOT NULL").select("block", "at", "key", "long")
+    counted = count_pieces(pieces.repartition("key").sortWithinPartitions("key"), shared, held)
     whole = made.filter("key IS NULL").select("block", "ids", "sizes", "specials", "lengths", "places", "times")
     ddl = f"k {df.schema[key].dataType.simpleString()}, n_bytes bigint, n_tokens bigint, over_limit boolean"
     arrow = to_arrow_schema(StructType.fromDDL(ddl))
 
     def total(block: pa.Table, found: pa.Table) -> pa.Table:
         row = {c: block.column(c)[0] for c in block.column_names}
-        of_place = np.zeros(found.num_rows, np.int64)
-        of_place[found.column("at").to_numpy()] = found.column("n").to_numpy()
+        ats, ns = ([unpack(x.as_py()) for x in found.column(c)] or [np.zeros(0, np.int64)] for c in ("ats", "ns"))
+        of_place = np.zeros(sum(map(len, ats)), np.int64)
+        of_place[np.concatenate(ats)] = np.concatenate(ns)
         lengths = row["lengths"].values.to_numpy(zero_copy_only=False)
         products = of_place[unpack(row["places"].as_py())] * unpack(row["times"].as_py())
         ends = np.cumsum(lengths)

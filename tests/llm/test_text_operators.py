@@ -342,8 +342,8 @@ def test_token_counts_do_not_depend_on_blocks(spark):
         made.add(i, x or "", *split.frequencies(x or ""))
     assert [int(n) for n in token_counts.unpack(token_counts.pack(np.array([0, 255, 256, 1 << 31, 7])))] == [0, 255, 256, 1 << 31, 7]
     assert len(token_counts.unpack(token_counts.pack(np.zeros(0)))) == 0 and list(made.place.values()) == list(range(len(made.place)))
-    for parts in (1, 7):
-        got = token_counts.count_tokens(frame(spark, texts + texts).repartition(parts), DEFINITION, P.PATTERN, 512).collect()
+    for parts, block, held in ((1, 1 << 16, 1 << 20), (7, 5, 50)):
+        got = token_counts.count_tokens(frame(spark, texts + texts).repartition(parts), DEFINITION, P.PATTERN, 512, block_rows=block, held=held).collect()
         assert sorted((r.doc_id, r.n_tokens) for r in got) == [(i, due[i % len(due)]) for i in range(2 * len(due))]
 
 

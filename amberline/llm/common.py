@@ -40,10 +40,11 @@ class Stage:
     def __init__(self, spark: SparkSession, tag: str):
         self.spark, self.root, self.n = spark, f"{shared_folder(spark)}/{tag}-{uuid.uuid4().hex}", 0
 
-    def write(self, df: DataFrame) -> DataFrame:
+    def write(self, df: DataFrame, codec: str | None = None) -> DataFrame:
+        """codec: of the files, if not the session's."""
         self.n += 1
         path = f"{self.root}/{self.n}"
-        df.write.parquet(path)
+        (df.write.option("compression", codec) if codec else df.write).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._stage_path = path
         return out

@@ -4,9 +4,10 @@ Tokens are runs of word characters and runs of other signs; a token's shape (kin
 repeats the one before) counts beside it. Uni- and bigrams of both are hashed into 2 ** BITS places; a text's vector holds log(1 + count) at each place and
 has length 1. A score is the logistic function of a sparse dot product. The weights, 2 ** BITS numbers, are broadcast.
 
-Training takes at most SAMPLE labelled rows, the first in order of a hash of the key; those keys alone are broadcast to find
-their texts, and only hashed vectors come to the driver. A key with several labels counts with its smallest. Null labels do not
-teach. A null text counts as empty, and an empty one is scored by the bias alone. With no label at all the score is 0.5.
+Training takes at most SAMPLE labelled rows, the first in order of a hash of the key, and of these only so many that their
+vectors have at most PLACES places together (one row at least, whole texts always). Those keys alone are broadcast to find
+their texts; hashed vectors are written to the shared folder, the driver reads their sizes and then the vectors it takes. A
+key with several labels counts with its smallest, one with several texts with the smallest digest. Null labels do not teach. A null text counts as empty, and an empty one is scored by the bias alone. With no label at all the score is 0.5.
 Only the key and the text are read to score; repeated rows give repeated results.
 """
 
@@ -22,10 +23,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from amberline.llm.byte_pairs import Pieces
-from amberline.llm.common import crc_fold, map_rows, table, text_or_empty
+from amberline.llm.common import Stage, crc_fold, map_rows, table, text_or_empty
 
 BITS = 18
 SAMPLE = 6_000
+#: 12 bytes each as they come to the driver: 96 MB.
+PLACES = 8_000_000
 #: Steps of training: the examples are gone through as often as this needs, between 3 and 20 times.
 STEPS = 18_000
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.02, 0.5
@@ -114,23 +117,34 @@ def train(examples: list[tuple[np.ndarray, np.ndarray, int]], steps: int = STEPS
     return model.weights().astype(np.float32), model.bias()
 
 
-def fit(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, sample: int = SAMPLE) -> tuple[np.ndarray, float]:
-    """Learns from at most ``sample`` labelled rows of docs."""
+def fit(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, sample: int = SAMPLE, places: int = PLACES) -> tuple[np.ndarray, float]:
+    """Learns from at most ``sample`` labelled rows of docs, whose vectors have at most ``places`` places together."""
     marks = labels.filter(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("k")).agg(F.min(label).cast("int").alias("y"))
     some = marks.withColumn("h", F.xxhash64(F.col("k").cast("string"))).orderBy("h", "k").limit(sample).drop("h")
-    rows = docs.select(F.col(key).alias("k"), text_or_empty(text).alias("t")).join(F.broadcast(some), "k").dropDuplicates(["k"])
+    rows = docs.select(F.col(key).alias("k"), text_or_empty(text).alias("t")).join(F.broadcast(some), "k")
 
     def make():
         def work(r: dict[str, list]) -> dict[str, list]:
             found = [vector(t) for t in r["t"]]
-            return {"k": r["k"], "y": r["y"], "place": [p.astype(np.int32).tobytes() for p, _ in found], "value": [v.astype(np.float32).tobytes() for _, v in found]}
+            out = {"k": r["k"], "y": r["y"], "size": [len(p) for p, _ in found], "digest": [xxhash.xxh3_64_hexdigest(t) for t in r["t"]]}
+            return out | {"place": [p.astype(np.int32).tobytes() for p, _ in found], "value": [v.tobytes() for _, v in found]}
 
         return work
 
     kind = docs.schema[key].dataType.simpleString()
-    got = map_rows(rows, make, f"k {kind}, y int, place binary, value binary").toArrow().to_pylist()
-    got.sort(key=lambda r: (xxhash.xxh64_intdigest(str(r["k"])), str(r["k"])))
-    return train([(np.frombuffer(r["place"], np.int32).astype(np.int64), np.frombuffer(r["value"], np.float32).astype(np.float64), r["y"]) for r in got])
+    stage = Stage(docs.sparkSession, "quality")
+    made = stage.write(map_rows(rows, make, f"k {kind}, y int, size int, digest string, place binary, value binary"))
+    sizes = made.groupBy("k").agg(F.min(F.struct("digest", "size")).alias("first")).select("k", "first.*").toArrow().to_pylist()
+    taken, total = {}, 0
+    for r in sorted(sizes, key=lambda r: (xxhash.xxh64_intdigest(str(r["k"])), str(r["k"]))):
+        total += r["size"]
+        if taken and total > places:
+            break
+        taken[r["k"]] = r["digest"]
+    wanted = made.filter(F.col("k").isin(list(taken))) if len(taken) < len(sizes) else made
+    got = {r["k"]: r for r in wanted.toArrow().to_pylist() if taken.get(r["k"]) == r["digest"]}
+    stage.drop(made)
+    return train([(np.frombuffer(r["place"], np.int32).astype(np.int64), np.frombuffer(r["value"], np.float64), r["y"]) for r in map(got.__getitem__, taken)])
 
 
 def score(df: DataFrame, model: tuple[np.ndarray, float], key: str = "doc_id", text: str = "text", threshold: float = 0.7, extra: dict[str, Column] | None = None) -> DataFrame:

@@ -13,6 +13,7 @@ import pytest
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from amberline.llm import byte_pairs, chat, exact_dedup, jpeg, language_id, mixing, ngram_join, quality, secrets, token_counts
@@ -363,6 +364,70 @@ def test_quality_on_rows_it_has_not_seen(spark):
     assert sum(r.predicted == int(r.doc_id % 3 > 0) for r in rows) >= 98 and all(0 <= r.score <= 1 for r in rows)
 
 
+def plain_vector(text):
+    """As the text's description says: hashes of words and of shapes, uni- and bigrams, log counts, length 1."""
+    tokens = re.findall(r"\w+|[^\w\s]+", text)
+    pairs = [quality.token_hashes(t) for t in tokens]
+    shapes = [int(quality.REPEAT) if i and pairs[i][0] == pairs[i - 1][0] else s for i, (_, s) in enumerate(pairs)]
+    grams = [h for h, _ in pairs] + shapes
+    for column in ([h for h, _ in pairs], shapes):
+        grams += [(a * int(quality.MIX) + b) * 0xD6E8FEB86659FD93 % 2**64 for a, b in zip(column, column[1:])]
+    logs = {place: math.log1p(n) for place, n in Counter(g >> 64 - quality.BITS for g in grams).items()}
+    norm = math.sqrt(sum(v * v for v in logs.values()))
+    return {place: v / norm for place, v in logs.items()}
+
+
+def plain_leader(examples, epochs):
+    """FTRL-proximal over dictionaries; the bias is place -1, without L1."""
+    z, n = defaultdict(float), defaultdict(float)
+
+    def weight(i):
+        l1 = 0.0 if i == -1 else quality.L1
+        return 0.0 if abs(z[i]) <= l1 else -(z[i] - math.copysign(l1, z[i])) / ((quality.BETA + math.sqrt(n[i])) / quality.ALPHA + quality.L2)
+
+    for epoch in range(epochs):
+        for at in np.random.default_rng(epoch).permutation(len(examples)):
+            x, y = examples[at]
+            x = x | {-1: 1.0}
+            w = {i: weight(i) for i in x}
+            loss = 1 / (1 + math.exp(-sum(w[i] * v for i, v in x.items()))) - y
+            for i, v in x.items():
+                g = loss * v
+                step = (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / quality.ALPHA
+                z[i] += g - step * w[i]
+                n[i] += g * g
+    return weight
+
+
+def test_quality_scores_are_the_plain_versions(spark):
+    texts = [*ODD, *[prose(i, 30) if i % 2 else prose(i, 30).upper() + " !! !!" for i in range(30)]]
+    df = frame(spark, texts)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(30)], "doc_id bigint, quality int")
+    got = {r.doc_id: r.score for r in quality.score(df, quality.fit(df, labels, "doc_id", "text", "quality")).collect()}
+    order = sorted(range(30), key=lambda i: (quality.xxhash.xxh64_intdigest(str(i)), str(i)))
+    weight = plain_leader([(plain_vector(texts[i] or ""), i % 2) for i in order], 20)
+    for i, t in enumerate(texts):
+        total = weight(-1) + sum(weight(p) * v for p, v in plain_vector(t or "").items())
+        assert got[i] == pytest.approx(1 / (1 + math.exp(-total)), abs=1e-5)
+
+
+def test_quality_fit_is_bounded_and_does_not_depend_on_order(spark):
+    texts = [prose(i, 40) for i in range(40)]
+    df = frame(spark, texts)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id bigint, quality int")
+    sizes = {i: len(plain_vector(t)) for i, t in enumerate(texts)}
+    order = sorted(sizes, key=lambda i: (quality.xxhash.xxh64_intdigest(str(i)), str(i)))
+    most = sum(sizes[i] for i in order[:12])
+    few = labels.filter(F.col("doc_id").isin(order[:12]))
+    want, bias = quality.fit(df, few, "doc_id", "text", "quality")
+    got, same = quality.fit(df, labels, "doc_id", "text", "quality", places=most)
+    assert np.array_equal(got, want) and same == bias
+    assert quality.fit(df, labels, "doc_id", "text", "quality", places=1)[0].any()  # one row at least
+    twice = df.union(df.withColumn("text", F.lit("another text"))).union(df)
+    a, b = (quality.fit(x, labels, "doc_id", "text", "quality") for x in (twice, twice.orderBy(F.desc("text")).repartition(3)))
+    assert np.array_equal(a[0], b[0]) and a[1] == b[1]
+
+
 def test_ftrl_is_sparse_and_separates():
     r = np.random.default_rng(0)
     examples = [(np.array([y, 2 + r.integers(50)]), np.array([0.8, 0.6]), y) for y in r.integers(0, 2, 400)]
@@ -481,7 +546,6 @@ def test_exact_dedup(spark, keep, partitions):
 def test_of_repeated_rows_one_stays(spark):
     df = spark.createDataFrame([(1, "a"), (1, "a"), (None, "a"), (2, "A")], "doc_id int, text string")
     assert sorted((r.keep_id, r.kept) for r in exact_dedup.content_sort(df, keep="min").collect()) == [(1, False), (1, False), (1, True), (2, True)]
-    from pyspark.sql import functions as F
 
     assert exact_dedup.content_sort(df, normalise=F.lower).filter("kept").count() == 1
 
@@ -507,6 +571,36 @@ def test_languages_on_rows_it_has_not_seen(spark):
     assert kept.columns == df.columns and {120, 121} == {r.doc_id for r in df.select("doc_id").subtract(kept.select("doc_id")).collect()}
 
 
+def test_predictions_are_the_plain_models(spark):
+    names = sorted(SYLLABLES) * 15
+    df = frame(spark, [spoken(x, i) for i, x in enumerate(names)] + ["ka ung", "Karo schmi", "1 2"], langs=[*names, None, None, None])
+    seen = defaultdict(list)
+    for r in df.filter("lang IS NOT NULL").select("lang", "text", "doc_id", F.xxhash64(F.col("doc_id").cast("string")).alias("h")).collect():
+        seen[r.lang].append((r.h, r.doc_id, r.text))
+    plain = {}
+    for x, rows in seen.items():
+        learned = [t for n, (_, _, t) in enumerate(sorted(rows), 1) if n % 5]
+        plain[x] = language_id.KneserNey(Counter(w for t in learned for w in language_id.words_of(t)), language_id.ORDER)
+
+    def entropy(model, text):
+        total = size = 0
+        for w in language_id.words_of(text):
+            s = language_id.START + w + language_id.END
+            for i in range(2, len(s) + 1):
+                total -= math.log(model.probability(s[max(0, i - language_id.ORDER) : i]))
+                size += 1
+        return total / size
+
+    for r in language_id.predict(df, language_id.fit(df, "doc_id", "text", "lang")).join(df.select("doc_id", "text"), "doc_id").collect():
+        if r.text == "1 2":
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+            continue
+        found = {x: entropy(m, r.text) for x, m in plain.items()}
+        best = min(found, key=found.get)
+        assert r.lang_pred == best and r.cross_entropy == pytest.approx(found[best], rel=1e-3)
+        assert r.score == pytest.approx(1 / sum(math.exp(language_id.SHARPNESS * (found[best] - e)) for e in found.values()), abs=1e-2)
+
+
 def test_probabilities_add_up():
     words = Counter(w for i in range(30) for w in spoken("one", i).split())
     model = language_id.KneserNey(words, 4)

@@ -6,6 +6,7 @@ import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as Order
 from pyspark.sql import functions as F
 
 from amberline.functions import casts, slots, stats
@@ -427,8 +428,8 @@ _LOG = "WITH log AS (SELECT o_orderkey, o_custkey % 50 AS scope, o_orderdate, o_
 
 def _log(spark, d):
     log = load(spark, d, "orders").select("o_orderkey", (F.col("o_custkey") % 50).alias("scope"), "o_orderdate", F.col("o_orderstatus").alias("bronze_status"))
-    newest = rows.latest(log, ["scope"], ["o_orderdate", "o_orderkey"]).select("o_orderkey", F.lit(True).alias("is_latest"))
-    return log.join(newest, "o_orderkey", "left").withColumn("is_latest", F.coalesce("is_latest", F.lit(False)))
+    newest = Order.partitionBy("scope").orderBy(F.desc("o_orderdate"), F.desc("o_orderkey"))
+    return log.withColumn("is_latest", F.row_number().over(newest) == 1)
 
 
 @query(_LOG + " SELECT o_orderkey, scope, is_latest AND scope <> 7 AS is_latest FROM m UNION ALL SELECT -1, 7, true")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 import datetime as dt
 import logging
 from dataclasses import dataclass, field
@@ -49,7 +50,7 @@ class Workspace:
     def scrape(self, dataset: str, scope: int | dt.date, execution_id: str | None = None) -> Snapshot:
         """Fetches a scope's file (a fiscal year for spot prices, a day otherwise); keeps it if it is new."""
         feed = FEEDS[dataset]
-        data = self.fetcher.fetch(feed.steps(self.base, scope))
+        data = self.fetcher.fetch(feed.steps(self.base or feed.site, scope))
         where = {"fiscal_year": scope} if isinstance(scope, int) else {"day": scope}
         return self.raw.put(dataset, feed.file_name(scope), data, compress=feed.compress, execution_id=execution_id, **where)
 
@@ -171,12 +172,12 @@ class Workspace:
 
 
 def year_rows(spark: SparkSession, text: str, company: str, day: dt.date) -> DataFrame:
-    """One day's rows of a yearly table, dates and hours written alike. A date that cannot be read is an error."""
-    lines = text.splitlines()[reports.YEAR_SKIP[company] :]
-    header, metrics = lines[0].split(","), list(silver.COMPANIES[company])
+    """One day's rows of a yearly table, dates and hours written alike; cells may be quoted. A date that cannot be read is an
+    error. A year's file has some thousand lines, of which one day's become rows."""
+    lines = csv.reader(text.splitlines()[reports.YEAR_SKIP[company] :])
+    header, metrics = next(lines), list(silver.COMPANIES[company])
     found = []
-    for line in filter(None, lines[1:]):
-        cells = line.split(",")
+    for cells in filter(any, lines):
         when = dt.datetime.strptime(cells[header.index("DATE")], "%Y/%m/%d").date()
         if when == day:
             hour, minute = cells[header.index("TIME")].split(":")[:2]

@@ -25,7 +25,7 @@ def spot_file(folder, year, price="10.00", slots=48):
 def unit_file(folder, day, value="1"):
     head = ",".join(declared.UNIT_COLUMNS)
     rows = [f"100,01,plant,{u},gas,{day:%Y/%m/%d},{','.join([value] * 48)},{48 * int(value)},{day:%Y/%m/%d} 23:00:00" for u in ("a", "")]
-    (folder / f"units_{day:%Y%m%d}.csv").write_bytes(("﻿" + "\n".join([head, *rows])).encode())
+    (folder / FEEDS["occto_unit_generation_actuals"].file_name(day)).write_bytes(("﻿" + "\n".join([head, *rows])).encode())
 
 
 @pytest.fixture
@@ -129,8 +129,12 @@ def test_a_run_log_that_cannot_be_written_is_no_failure(w, monkeypatch):
 
 def test_requests():
     assert [s.method for s in FEEDS["occto_unit_generation_actuals"].steps("http://x", DAY)] == ["GET", "POST", "POST", "GET"]
+    consent, search, file = FEEDS["occto_unit_generation_actuals"].steps("http://x", DAY)[1:]
+    assert consent.form == {"agreed": "0"} and search.form == file.query and search.form["tgtDateDateFrom"] == f"{DAY:%Y/%m/%d}"
     step = FEEDS["jepx_spot_price"].steps("http://x", 2024)[0]
-    assert step.form == {"dir": "spot_summary", "file": "spot_summary_2024.csv"} and "timestamp" in step.query
+    assert step.form == {"dir": "spot_summary", "file": "spot_summary_2024.csv"} and "timestamp" in step.query and "Referer" in step.headers
+    names = {c: FEEDS[f"supply_demand_actuals_{c}"].file_name(dt.date(2025, 1, 2)) for c in ("tohoku", "chugoku", "shikoku")}
+    assert names == {"tohoku": "juyo_2025_tohoku.csv", "chugoku": "juyo-2025.csv", "shikoku": "juyo_shikoku_2025.csv"}
 
 
 def test_command_line(w, site, capsys):

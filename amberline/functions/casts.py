@@ -16,8 +16,10 @@ def no_thousands(c: Column) -> Column:
 
 
 def whole(c: Column, kind: str) -> Column:
-    """Whole numbers as they are; decimals rounded once, half away from zero, exponents read; ``''`` and the rest NULL."""
-    return F.coalesce(c.try_cast(kind), F.round(c.try_cast("decimal(38,18)"), 0).try_cast(kind))
+    """Whole numbers as they are; decimals rounded once, half away from zero, exponents read; ``''`` and the rest NULL. A cast
+    that fails costs an exception, a hundred times a good one, so a pattern keeps such texts from it."""
+    digits = F.when(c.rlike(r"^\s*[+-]?[0-9]+\s*$"), c.try_cast(kind))
+    return F.coalesce(digits, F.when(c.rlike("[0-9]"), F.round(c.try_cast("decimal(38,18)"), 0).try_cast(kind)))
 
 
 def to_long(c: Column) -> Column:

@@ -251,6 +251,21 @@ def test_jaccard_join_is_brute_force(spark, monkeypatch, seed, words, num, den,
     assert got == brute_components(texts, words, num, den)
 
 
+def test_jaccard_join_moves_no_tokens_of_pairs_that_are_far_apart(spark):
+    r, rule = random.Random(5), ngram_join.Rule(85, 100)
+    base = [r.getrandbits(63) for _ in range(300)]
+    found = [sorted({*r.sample(base, 300 - k), *(r.getrandbits(63) for _ in range(k))}) for k in (0, 3, 9, 12, 20, 24, 25, 30, 45, 60) for _ in range(3)]
+    full = ngram_join.mapped(spark.createDataFrame([(i, len(t) + i % 2, t) for i, t in enumerate(found)], "x bigint, n bigint, tokens array<bigint>"))
+    every = [(a, b, a == 0) for b in range(len(found)) for a in range(b)]
+    kept = {(x.a, x.b) for x in ngram_join.likely(spark.createDataFrame(every, "a bigint, b bigint, pivot boolean"), full, rule).collect()}
+    size = lambda i: len(found[i]) + i % 2
+    both = {(a, b): len({*found[a]} & {*found[b]}) for a, b, _ in every}
+    links = {(a, b) for (a, b), n in both.items() if 100 * n >= 85 * (size(a) + size(b) - n)}
+    far = {(a, b) for (a, b), n in both.items() if a and 100 * n < 70 * (size(a) + size(b) - n)}
+    assert len(links) > 50 and links <= kept and {(0, b) for b in range(1, len(found))} <= kept
+    assert len(far) > 50 and not far & kept
+
+
 def test_jaccard_join_with_repeated_ids(spark):
     """Every row is a document of its own: each of two texts of one id links with its own near copy."""
     a, b = prose(1, 80).split(), prose(2, 80).split()

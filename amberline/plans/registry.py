@@ -403,7 +403,9 @@ def intraday_mean_std(spark, d):
 round(quantile_cont(l_extendedprice, 0.5), 6) AS median, round(quantile_cont(l_extendedprice, 0.25), 6) AS p25, round(quantile_cont(l_extendedprice, 0.75), 6) AS p75 FROM lineitem""")
 def describe_price(spark, d):
     p = F.col("l_extendedprice")
-    return load(spark, d, "lineitem").agg(F.round(F.avg(p), 6).alias("mean"), F.round(F.stddev_samp(p), 6).alias("deviation"), F.min(p).alias("least"), F.max(p).alias("most"), *[F.round(F.percentile(p, q), 6).alias(n) for q, n in ((0.5, "median"), (0.25, "p25"), (0.75, "p75"))])
+    t, q = load(spark, d, "lineitem"), {"median": 0.5, "p25": 0.25, "p75": 0.75}
+    found = zip(q, stats.quantiles(t, "l_extendedprice", list(q.values())), strict=True)
+    return t.agg(F.round(F.avg(p), 6).alias("mean"), F.round(F.stddev_samp(p), 6).alias("deviation"), F.min(p).alias("least"), F.max(p).alias("most"), *[F.round(F.lit(v).cast("double"), 6).alias(n) for n, v in found])
 
 
 @query("SELECT round(corr(l_quantity, l_extendedprice), 6) AS r FROM lineitem")

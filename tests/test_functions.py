@@ -99,3 +99,20 @@ def test_texts_round_once(spark):
     texts = ["0.4999999", "-0.4999999", "0.5", "-0.5", "1e3", "12.5e-1", "9223372036854775807", "9223372036854775808", "1e40", "", "x", None, "7"]
     df = spark.createDataFrame([(t,) for t in texts], "t string").select(casts.to_long(F.col("t")))
     assert [r[0] for r in df.collect()] == [0, 0, 1, -1, 1000, 1, 9223372036854775807, None, None, None, None, None, 7]
+
+
+@pytest.mark.parametrize(
+    "values",
+    [[], [None], [3.5], [2.0] * 9, [1.0, None, 2.0, 4.0], [0.0, -0.0, 5e-324, 1e-323], [-1.7e308, 1.7e308, 1.0, 2.0, 1e-300], [10.0**k for k in range(-300, 300, 7)], [float("inf"), float("-inf"), 1.0, float("nan"), 2.0], [i % 977 + i / 8192 for i in range(5000)]],
+)
+def test_quantiles_are_those_of_percentile(spark, values):
+    df, qs = spark.createDataFrame([(v,) for v in values], "c double").repartition(3), [0.0, 0.05, 0.25, 0.5, 0.75, 1.0]
+    theirs = df.agg(*[F.percentile("c", q) for q in qs]).first()
+    assert str(stats.quantiles(df, "c", qs)) == str([v if v is None else v + 0.0 for v in theirs])  # one zero
+
+
+def test_describe_price_holds_no_table_of_all_values(spark):
+    from amberline.plans.registry import QUERIES
+
+    plan = QUERIES["describe_price"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "percentile" not in plan and "collect" not in plan

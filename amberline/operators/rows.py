@@ -15,6 +15,21 @@ def latest(df: DataFrame, keys: Sequence[str | Column], newest: Sequence[str]) -
     return df.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("_rank = 1").drop("_rank")
 
 
+#: Of so many keys the newest values may be broadcast.
+FEW = 100_000
+
+
+def latest_wide(df: DataFrame, keys: Sequence[str], newest: Sequence[str]) -> DataFrame:
+    """``latest`` for rows of many columns. Where keys are few, the newest values of each are found from the narrow columns alone,
+    and only the rows that have them are made whole and sorted. Counts the keys when it is called."""
+    best = df.groupBy(*[F.col(k).alias(f"_key_{k}") for k in keys]).agg(F.max(F.struct(*newest)).alias("_best"))
+    if best.limit(FEW + 1).count() > FEW:
+        return latest(df, keys, newest)
+    best = best.select(*[f"_key_{k}" for k in keys], *[F.col(f"_best.{c}").alias(f"_key_{c}") for c in newest])
+    same = [F.col(c).eqNullSafe(F.col(f"_key_{c}")) for c in (*keys, *newest)]
+    return latest(df.join(F.broadcast(best), same, "left_semi"), keys, newest)
+
+
 def violation_list(rules: Mapping[str, Column]) -> Column:
     """Names of the rules that are true; an unknown answer is no violation."""
     return F.filter(F.array(*[F.when(p, F.lit(name)) for name, p in rules.items()]), lambda x: x.isNotNull())

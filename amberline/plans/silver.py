@@ -138,7 +138,7 @@ def latest_report(bronze: DataFrame, window: Window | None) -> DataFrame:
     """The newest report of each day; the window comes after, so the result differs from spot prices only for dates that
     cannot be read."""
     dated = bronze.withColumn("_day", casts.to_date(F.col("target_date"), ("yyyy-M-d",))).withColumn("_updated", casts.updated_at(F.col("file_updated_at")))
-    newest = rows.latest(dated, ["target_date"], ["_updated", "ingestion_time"])
+    newest = rows.latest_wide(dated, ["target_date"], ["_updated", "ingestion_time"])
     return newest.filter(window.holds(F.col("_day"))) if window else newest
 
 

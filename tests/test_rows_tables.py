@@ -200,3 +200,18 @@ def test_declarations():
 def test_stamp_uses_one_time(spark):
     out = stamp(spark.range(2).toDF("x"), source="s", execution_id="e").collect()
     assert out[0].ingestion_time == out[1].ingestion_time and out[0].source_data == "s" and out[0].status == "loaded"
+
+
+@pytest.mark.parametrize("few", [100_000, 1])
+def test_latest_of_wide_rows_is_latest(spark, monkeypatch, few):
+    monkeypatch.setattr(rows, "FEW", few)
+    values = [(k, a, b, f"{k}{a}{b}") for k in ("x", "y", None) for a in (None, 1, 2) for b in (None, 3, 5)] + [("z", None, None, "z")]
+    df = spark.createDataFrame([*values, ("y", 2, 5, "y25")], "k string, a int, b int, v string")
+    assert sorted(map(str, rows.latest_wide(df, ["k"], ["a", "b"]).collect())) == sorted(map(str, rows.latest(df, ["k"], ["a", "b"]).collect()))
+
+
+def test_wide_reports_are_sorted_only_where_they_are_the_newest(spark):
+    from amberline.plans.registry import QUERIES
+
+    plan = QUERIES["usage_five_minute_slots"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("row_number()") < plan.index("Join LeftSemi")  # from the top down: what is sorted has passed the join
